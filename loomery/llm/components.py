@@ -1,0 +1,35 @@
+"""Connected components of a graph that may have very large stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomery.llm.common import store
+
+MAX_ROUNDS = 60
+
+
+def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """node, label for every end of ``edges`` (a, b): the smallest node that it is connected with.
+
+    Each round takes the smallest label among the neighbours and then the label's own label, so
+    paths shorten by doubling. Minima combine before the shuffle, so the hub of a star is one row
+    per task. ``known`` (node, label) are labels to start from: nodes of one label are connected.
+    """
+    ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other"))
+    if known is not None:
+        ends = ends.unionByName(known.where("node <> label").select("node", F.col("label").alias("other")))
+    ends = store(ends.unionByName(ends.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "cc-edges")
+    labels = store(ends.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), "cc-labels")
+    for _ in range(MAX_ROUNDS):
+        near = ends.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
+        step = labels.join(near, "node").select("node", F.least("label", "near").alias("next"), F.col("label").alias("was"))
+        step = store(step, "cc-step")
+        jump = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
+        moved = step.join(jump, "next", "left")
+        labels = store(moved.select("node", F.least("next", F.coalesce("far", "next")).alias("label"), "was"), "cc-labels")
+        if not labels.where("label <> was").limit(1).count():
+            return labels.select("node", "label")
+        labels = labels.select("node", "label")
+    raise RuntimeError("components did not settle")

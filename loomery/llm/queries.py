@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm import exact_dedup, mixing, packing, sharding, tokens
+from loomery.llm import exact_dedup, mixing, near_dedup, packing, sharding, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,13 +35,17 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix_copies(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_packing, op4_sharding, op6_token_counts, op10_mixing)
+    f.__name__: f for f in (op1_exact_dedup, op2_packing, op4_sharding, op6_token_counts, op8_near_dedup, op10_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {
