@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm import exact_dedup, mixing, near_dedup, packing, sharding, tokens
+from loomery.llm import exact_dedup, mixing, near_dedup, packing, sharding, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_rows(_table(spark, sf_dir, "documents"), shards=24)
     return rows.select(
@@ -45,7 +49,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_packing, op4_sharding, op6_token_counts, op8_near_dedup, op10_mixing)
+    f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_toxicity, op4_sharding, op6_token_counts, op8_near_dedup, op10_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {
