@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm import exact_dedup, mixing, near_dedup, nearest, packing, sharding, tokens, toxicity
+from loomery.llm import exact_dedup, mixing, near_dedup, nearest, packing, secret_scan, sharding, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.encode("base", "UTF-8"), 256)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", digest.alias("base_sha256"), "spans")
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -53,7 +59,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_toxicity, op4_sharding, op5_nearest, op6_token_counts, op8_near_dedup, op10_mixing)
+    f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_toxicity, op4_sharding, op5_nearest, op6_token_counts, op7_secret_scan, op8_near_dedup, op10_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {
