@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm import exact_dedup, mixing, near_dedup, nearest, packing, secret_scan, sharding, tokens, toxicity
+from loomery.llm import archive, exact_dedup, mixing, near_dedup, nearest, packing, secret_scan, sharding, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,13 +53,18 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = archive.archive_pages(_table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "position")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix_copies(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_toxicity, op4_sharding, op5_nearest, op6_token_counts, op7_secret_scan, op8_near_dedup, op10_mixing)
+    f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_toxicity, op4_sharding, op5_nearest, op6_token_counts, op7_secret_scan, op8_near_dedup, op9_warc, op10_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {
