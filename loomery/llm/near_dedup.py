@@ -85,7 +85,7 @@ class Shingler:
             if b - a >= k:
                 yield np.unique(whole[a : b - k + 1])
             elif b > a:
-                yield _mix((h[a:b] * self.odd[: b - a]).sum(keepdims=True) + self.odd[k] * np.uint64(b - a))
+                yield _mix((h[a:b] * self.odd[: b - a]).sum(keepdims=True) + self.odd[k : k + 1] * np.uint64(b - a))
             else:
                 yield np.zeros(0, np.uint64)
 
