@@ -12,7 +12,11 @@ def words(text: Column) -> Column:
 
 
 def shingles(tokens: Column, width: int) -> Column:
-    """Every run of ``width`` tokens as one string, in order; none if there are fewer."""
+    """Every run of ``width`` tokens as one string, in order; none if there are fewer.
+
+    ``tokens`` is used once per position: pass a column of an earlier ``select``, not an expression
+    that would be computed as often.
+    """
     at = F.when(F.size(tokens) >= width, F.sequence(F.lit(1), F.size(tokens) - F.lit(width - 1))).otherwise(F.array().cast("array<int>"))
     return F.transform(at, lambda i: F.array_join(F.slice(tokens, i, F.lit(width)), " "))
 

@@ -27,5 +27,5 @@ def span_union(spans: DataFrame, key: str) -> DataFrame:
     by = Window.partitionBy(key).orderBy("first", "last")
     reach = F.max("last").over(by.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("first") <= F.col("reach"), 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    marked = spans.withColumn("reach", reach).withColumn("island", island)
+    marked = spans.select(key, "first", "last").distinct().withColumn("reach", reach).withColumn("island", island)
     return marked.groupBy(key, "island").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("island")

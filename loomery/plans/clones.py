@@ -1,0 +1,136 @@
+"""Winnowed fingerprints, hash groups and clone runs over token streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from loomery.functions import words
+from loomery.operators import graph
+from loomery.operators.intervals import owner_join, span_union
+from loomery.plans.registry import query
+from loomery.sources.tables import table
+
+KGRAM, WINDOW, HOT = 5, 4, 64
+
+# Fingerprints are spelled as a prefix of the MD5 of the k-gram, so that any engine computes them.
+GRAMS = r"""w AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM conversations),
+gram AS (SELECT id, k - 1 AS k, substr(md5(array_to_string(w[k:k + 4], ' ')), 1, 12) AS h FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS k FROM w)),
+win AS (SELECT id, k, min(h) OVER s AS h, count(*) OVER s AS c, count(*) OVER (PARTITION BY id) AS n FROM gram WINDOW s AS (PARTITION BY id ORDER BY k ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
+fp AS (SELECT DISTINCT id, max(gram.k) AS k, gram.h FROM (SELECT id, k AS k0, h FROM win WHERE c = least(4, n) ) x JOIN gram USING (id, h) WHERE gram.k BETWEEN k0 AND k0 + 3 GROUP BY id, k0, gram.h)"""
+
+
+def kgrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, k, h: hash of the k-gram at each position of each turn."""
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), words(F.col("text")).alias("w"))
+    at = F.when(F.size("w") >= KGRAM, F.sequence(F.lit(0), F.size("w") - F.lit(KGRAM))).otherwise(F.array().cast("array<int>"))
+    gram = F.transform(at, lambda i: F.substring(F.md5(F.array_join(F.slice("w", i + 1, F.lit(KGRAM)), " ").cast("binary")), 1, 12))
+    return c.select("id", F.posexplode(gram).alias("k", "h"))
+
+
+def winnow(grams: DataFrame, window: int = WINDOW) -> DataFrame:
+    """id, k, h: the least hash of every window of ``window`` positions, the rightmost of equal ones."""
+    by = Window.partitionBy("id").orderBy("k")
+    ahead = by.rowsBetween(0, window - 1)
+    best = F.min(F.struct("h", (-F.col("k")).alias("back"))).over(ahead)
+    full = F.count("*").over(ahead) == F.least(F.lit(window), F.count("*").over(Window.partitionBy("id")))
+    picked = grams.withColumn("best", best).withColumn("full", full).where("full")
+    return picked.select("id", (-F.col("best.back")).cast("long").alias("k"), F.col("best.h").alias("h")).distinct()
+
+
+@query(f"WITH {GRAMS} SELECT id, k, h FROM fp")
+def winnow_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow(kgrams(spark, sf_dir))
+
+
+def hash_pairs(prints: DataFrame, hot: int = HOT) -> DataFrame:
+    """id_a, k_a, id_b, k_b of equal fingerprints: all pairs of a small group, neighbours of a hot one.
+
+    A group is hot above ``hot`` members. Its members are put in the order of (id, k) and each is
+    paired with the next: they stay connected and the pairs stay as many as the members.
+    """
+    size = prints.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    p = prints.join(size, "h")
+    a = p.where(F.col("n") <= hot).select("h", F.col("id").alias("id_a"), F.col("k").alias("k_a"))
+    b = a.select("h", F.col("id_a").alias("id_b"), F.col("k_a").alias("k_b"))
+    small = a.join(b, "h").where("id_a < id_b or (id_a = id_b and k_a < k_b)").drop("h")
+    by = Window.partitionBy("h").orderBy("id", "k")
+    chained = p.where(F.col("n") > hot).withColumn("next", F.lead(F.struct("id", "k")).over(by)).where("next is not null")
+    return small.unionByName(chained.select(F.col("id").alias("id_a"), F.col("k").alias("k_a"), F.col("next.id").alias("id_b"), F.col("next.k").alias("k_b")))
+
+
+HOTPAIRS = """g AS (SELECT *, count(*) OVER (PARTITION BY h) AS n, lead(id) OVER o AS id2, lead(k) OVER o AS k2 FROM fp WINDOW o AS (PARTITION BY h ORDER BY id, k)),
+pair AS (SELECT a.id AS id_a, a.k AS k_a, b.id AS id_b, b.k AS k_b FROM g a JOIN g b ON a.h = b.h AND (a.id < b.id OR (a.id = b.id AND a.k < b.k)) WHERE a.n <= 64
+         UNION ALL SELECT id, k, id2, k2 FROM g WHERE n > 64 AND id2 IS NOT NULL)"""
+
+
+@query(f"WITH {GRAMS}, {HOTPAIRS} SELECT * FROM pair")
+def fingerprint_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_pairs(winnow(kgrams(spark, sf_dir)))
+
+
+CLONES = """two AS (SELECT h FROM gram GROUP BY h HAVING count(DISTINCT id) BETWEEN 2 AND 64),
+hit AS (SELECT DISTINCT a.id AS id_a, b.id AS id_b, b.k - a.k AS diagonal, a.k FROM gram a JOIN gram b ON a.h = b.h AND a.id < b.id WHERE a.h IN (SELECT h FROM two)),
+run AS (SELECT id_a, id_b, diagonal, min(k) AS start_a, count(*) + 4 AS n FROM (
+    SELECT *, k - row_number() OVER (PARTITION BY id_a, id_b, diagonal ORDER BY k) AS i FROM hit) GROUP BY id_a, id_b, diagonal, i HAVING count(*) + 4 >= 6)"""
+
+
+def runs(grams: DataFrame, least: int = 6, hot: int = HOT) -> DataFrame:
+    """id_a, id_b, start_a, start_b, n: maximal equal runs of two streams, of ``least`` tokens or more.
+
+    Only k-grams of at most ``hot`` streams start a run; more frequent ones are phrases.
+    """
+    few = grams.groupBy("h").agg(F.countDistinct("id").alias("n")).where(f"n between 2 and {hot}").select("h")
+    g = grams.join(few, "h", "left_semi")
+    a, b = g.select("h", F.col("id").alias("id_a"), F.col("k").alias("k")), g.select("h", F.col("id").alias("id_b"), F.col("k").alias("k_b"))
+    hit = a.join(b, "h").where("id_a < id_b").select("id_a", "id_b", (F.col("k_b") - F.col("k")).alias("diagonal"), "k")
+    by = Window.partitionBy("id_a", "id_b", "diagonal").orderBy("k")
+    islands = hit.withColumn("i", F.col("k") - F.row_number().over(by)).groupBy("id_a", "id_b", "diagonal", "i")
+    found = islands.agg(F.min("k").alias("start_a"), (F.count("*") + KGRAM - 1).alias("n")).where(F.col("n") >= least)
+    return found.select("id_a", "id_b", F.col("start_a").cast("long").alias("start_a"), (F.col("start_a") + F.col("diagonal")).cast("long").alias("start_b"), "n")
+
+
+@query(f"WITH {GRAMS}, {CLONES} SELECT id_a, id_b, start_a, start_a + diagonal AS start_b, n FROM run")
+def clone_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs(kgrams(spark, sf_dir))
+
+
+@query(
+    f"""WITH RECURSIVE {GRAMS}, {CLONES}, e AS (SELECT id_a AS x, id_b AS y FROM run UNION SELECT id_b, id_a FROM run),
+       near(x, y) AS (SELECT x, x FROM e UNION SELECT near.x, e.y FROM near JOIN e ON e.x = near.y)
+       SELECT x AS id, min(y) AS component FROM near GROUP BY x"""
+)
+def clone_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns joined by clone runs, in steps."""
+    found = runs(kgrams(spark, sf_dir)).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")).distinct()
+    return graph.components(found)
+
+
+@query(
+    f"""WITH {GRAMS}, {CLONES}, s AS (SELECT id_a AS id, start_a AS first, start_a + n AS last FROM run UNION SELECT id_b, start_a + diagonal, start_a + diagonal + n FROM run),
+       m AS (SELECT *, max(last) OVER (PARTITION BY id ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
+       i AS (SELECT *, sum(CASE WHEN first <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY first, last ROWS UNBOUNDED PRECEDING) AS island FROM m)
+       SELECT id, min(first) AS first, max(last) AS last FROM i GROUP BY id, island"""
+)
+def cloned_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of each turn that some clone run covers, touching ones as one."""
+    r = runs(kgrams(spark, sf_dir))
+    a = r.select(F.col("id_a").alias("id"), F.col("start_a").alias("first"), (F.col("start_a") + F.col("n")).alias("last"))
+    b = r.select(F.col("id_b").alias("id"), F.col("start_b").alias("first"), (F.col("start_b") + F.col("n")).alias("last"))
+    return span_union(a.unionAll(b), "id")
+
+
+@query(
+    """WITH span AS (SELECT user_id, event_id AS id, event_id AS first, event_id + CAST(value * 10 AS BIGINT) AS last FROM events WHERE event_type = 'purchase'),
+       q AS (SELECT user_id AS u, event_id AS p FROM events WHERE event_type = 'error')
+       SELECT u AS user_id, p AS at, (SELECT id FROM span WHERE span.user_id = q.u AND q.p BETWEEN first AND last ORDER BY last - first, id LIMIT 1) AS owner FROM q"""
+)
+def owner_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shortest span of the same key that holds each point."""
+    e = table(spark, sf_dir, "events")
+    # Rounded half away from zero, as the SQL's cast does.
+    spans = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("id"), F.col("event_id").alias("first"))
+    length = e.where("event_type = 'purchase'").select(F.col("event_id").alias("id"), F.rint(F.col("value") * 10).cast("long").alias("length"))
+    spans = spans.join(length, "id").withColumn("last", F.col("first") + F.col("length"))
+    return owner_join(e.where("event_type = 'error'").select("user_id", F.col("event_id").alias("at")), spans, "user_id")

@@ -1,0 +1,113 @@
+"""BM25 over part names, in integers, and words that occur together."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from loomery.plans.registry import query
+from loomery.sources.tables import table
+
+#: Channels of a unit's evidence and their weight in a query.
+CHANNELS = {"name": 3, "shape": 1}
+TOP = 5
+
+BAG = """bag AS (
+    SELECT id, term, count(*) AS tf FROM (
+        SELECT p_partkey AS id, 'name:' || unnest(string_split(lower(p_name), ' ')) AS term FROM part
+        UNION ALL SELECT p_partkey, 'shape:' || unnest(string_split(lower(p_type), ' ')) FROM part
+        UNION ALL SELECT p_partkey, 'name:' || replace(lower(p_brand), '#', '') FROM part) GROUP BY id, term),
+size AS (SELECT id, sum(tf)::BIGINT AS len FROM bag GROUP BY id),
+n AS (SELECT count(*) AS n, greatest(1, sum(len)::BIGINT // count(*)) AS avg FROM size),
+df AS (SELECT term, count(*) AS df FROM bag GROUP BY term),
+idf AS (SELECT term, df, CASE WHEN 2 * n + 1 - 2 * df <= 2 * df + 1 THEN 0 ELSE floor(256 * log2((2 * n + 1 - 2 * df)::DOUBLE / (2 * df + 1)))::BIGINT END AS idf FROM df, n)"""
+
+
+def bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, term, tf: the words of each part in their channels; one word in two channels is two terms."""
+    p = table(spark, sf_dir, "part")
+    of = lambda label, words: F.transform(words, lambda w: F.concat(F.lit(label + ":"), w))
+    words = F.concat(
+        of("name", F.split(F.lower("p_name"), " ")), of("shape", F.split(F.lower("p_type"), " ")), of("name", F.array(F.regexp_replace(F.lower("p_brand"), "#", "")))
+    )
+    return p.select(F.col("p_partkey").alias("id"), F.explode(words).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+
+
+def statistics(bag: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, len), one row with n and avg, (term, df, idf): idf in 1/256, 0 for terms of half the units."""
+    size = bag.groupBy("id").agg(F.sum("tf").alias("len"))
+    n = size.agg(F.count("*").alias("n"), F.greatest(F.lit(1), F.expr("sum(len) div count(*)")).alias("avg"))
+    df = bag.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n))
+    ratio = (2 * F.col("n") + 1 - 2 * F.col("df")).cast("double") / (2 * F.col("df") + 1)
+    common = 2 * F.col("n") + 1 - 2 * F.col("df") <= 2 * F.col("df") + 1
+    return size, n, df.select("term", "df", F.when(common, 0).otherwise(F.floor(256 * F.log2(ratio))).cast("long").alias("idf"))
+
+
+@query(f"WITH {BAG} SELECT term, df, idf FROM idf")
+def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics(bags(spark, sf_dir))[2]
+
+
+SCORED = """ask AS (SELECT id AS q, term, CASE WHEN term LIKE 'name:%' THEN 3 ELSE 1 END * tf * 256 AS w FROM bag WHERE id % 50 = 0),
+score AS (SELECT q, bag.id, sum(((w * idf * 22 * tf * avg)::HUGEINT * 65536 // (10 * tf * avg + 3 * avg + 9 * len))) AS score,
+                 count(*) FILTER (WHERE term LIKE 'name:%') AS n_name, count(*) FILTER (WHERE term LIKE 'shape:%') AS n_shape
+          FROM ask JOIN idf USING (term) JOIN bag USING (term) JOIN size USING (id), n WHERE idf > 0 AND bag.id <> q GROUP BY q, bag.id),
+top AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM score)"""
+
+
+@query(f"WITH {BAG}, {SCORED} SELECT q, rank, id, score::BIGINT AS score, n_name, n_shape, n_name >= 2 AND n_shape >= 1 AS same_role FROM top WHERE rank <= 5")
+def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every fiftieth part, the five parts that say most in the same words.
+
+    Contributions are whole numbers, divided term by term before they are summed, so the order of
+    the sum cannot matter. Terms that half the parts have score nothing and are left out before the join.
+    """
+    bag = bags(spark, sf_dir)
+    size, n, idf = statistics(bag)
+    weight = F.when(F.col("term").startswith("name:"), CHANNELS["name"]).otherwise(CHANNELS["shape"]) * F.col("tf") * 256
+    ask = bag.where("id % 50 = 0").select(F.col("id").alias("q"), "term", weight.alias("w"))
+    hit = ask.join(idf.where("idf > 0"), "term").join(bag, "term").where("id <> q").join(size, "id").join(F.broadcast(n))
+    part = F.expr("cast(w * idf * 22 * tf * avg as decimal(38,0)) * 65536 div (10 * tf * avg + 3 * avg + 9 * len)").cast("decimal(28,0)")
+    of = lambda c: F.count_if(F.col("term").startswith(c + ":")).alias(f"n_{c}")
+    score = hit.groupBy("q", "id").agg(F.sum(part).cast("long").alias("score"), of("name"), of("shape"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
+    top = score.withColumn("rank", rank.cast("long")).where(F.col("rank") <= TOP)
+    return top.select("q", "rank", "id", "score", "n_name", "n_shape", ((F.col("n_name") >= 2) & (F.col("n_shape") >= 1)).alias("same_role"))
+
+
+PAIRS = """pair AS (SELECT a.term AS a, b.term AS b, count(*) AS n_ab FROM bag a JOIN bag b ON a.id = b.id AND a.term < b.term GROUP BY ALL),
+known AS (SELECT a, b, n_ab, x.df AS n_a, y.df AS n_b, n FROM pair JOIN df x ON x.term = a JOIN df y ON y.term = b, n WHERE n_ab >= 2)"""
+
+
+def cooccurrence(bag: DataFrame) -> DataFrame:
+    """a, b, n_ab of terms that at least two units hold both, a < b. A unit's bag is short."""
+    x, y = bag.select("id", F.col("term").alias("a")), bag.select("id", F.col("term").alias("b"))
+    return x.join(y, "id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_ab")).where("n_ab >= 2")
+
+
+@query(f"WITH {BAG}, {PAIRS} SELECT a, b, n_ab, n_a, n_b FROM known")
+def cooccurring_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bag = bags(spark, sf_dir)
+    df = bag.groupBy("term").agg(F.count("*").alias("df"))
+    pair = cooccurrence(bag).join(df.select(F.col("term").alias("a"), F.col("df").alias("n_a")), "a")
+    return pair.join(df.select(F.col("term").alias("b"), F.col("df").alias("n_b")), "b").select("a", "b", "n_ab", "n_a", "n_b")
+
+
+@query(
+    f"""WITH {BAG}, {PAIRS}, e AS (SELECT a AS term, b AS near, n_ab, n_a, n_b, n FROM known UNION ALL SELECT b, a, n_ab, n_b, n_a, n FROM known),
+       r AS (SELECT term, near, n_ab, row_number() OVER (PARTITION BY term ORDER BY (n_ab * n)::DOUBLE / (n_a * n_b) DESC, near) AS rank
+             FROM e WHERE 4 * n_b <= n AND n_ab * n > n_a * n_b)
+       SELECT term, rank, near, n_ab FROM r WHERE rank <= 3"""
+)
+def ppmi_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each term the three terms most tied to it, by pointwise mutual information above 0."""
+    bag = bags(spark, sf_dir)
+    df, n = bag.groupBy("term").agg(F.count("*").alias("df")), statistics(bag)[1]
+    pair = cooccurrence(bag)
+    both = pair.select(F.col("a").alias("term"), F.col("b").alias("near"), "n_ab").unionAll(pair.select("b", "a", "n_ab"))
+    both = both.join(df.select("term", F.col("df").alias("n_a")), "term").join(df.select(F.col("term").alias("near"), F.col("df").alias("n_b")), "near")
+    both = both.join(F.broadcast(n)).where("4 * n_b <= n and n_ab * n > n_a * n_b")
+    lift = (F.col("n_ab") * F.col("n")).cast("double") / (F.col("n_a") * F.col("n_b"))
+    rank = F.row_number().over(Window.partitionBy("term").orderBy(lift.desc(), "near"))
+    return both.withColumn("rank", rank.cast("long")).where("rank <= 3").select("term", "rank", "near", "n_ab")
