@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomery.llm.common import maybe_broadcast, scratch_path, store, whole_text
+from loomery.llm.common import map_arrow, maybe_broadcast, scratch_path, store, whole_text
 
 END = "\r\n\r\n"
 #: Bytes of payload per archive, on average: what a task holds when it reads one.
@@ -98,7 +98,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     size = pages.select(F.count("*").alias("n"), F.sum(F.octet_length(html)).alias("b")).head()
     each = max(1, (size["n"] or 1) * ARCHIVE_BYTES // max(1, size["b"] or 1))
     placed = rows.join(maybe_broadcast(tops), "sha").select("page", "url", "html", "sha", "top", F.col("page").eqNullSafe(F.col("top")).alias("own"))
-    placed.mapInArrow(_records, "value string").write.option("lineSep", END).option("maxRecordsPerFile", each).text(path)
+    map_arrow(placed, _records, "value string").write.option("lineSep", END).option("maxRecordsPerFile", each).text(path)
 
 
 def parse_archive(data: bytes) -> Iterator[tuple]:
@@ -198,7 +198,7 @@ def capture_history(entries: DataFrame) -> DataFrame:
     whole = ["url_key", "captured", "page_id", "run", "record_offset"]
     ranges = max(1, entries.count() // RANGE_ROWS + 1)
     dealt = entries.repartitionByRange(ranges, *whole).sortWithinPartitions("run", "url_key", "captured", "page_id")
-    merged = store(dealt.mapInArrow(_merge, f"{ENTRY}, part int, k long"), "warc-merged")
+    merged = store(map_arrow(dealt, _merge, f"{ENTRY}, part int, k long"), "warc-merged")
     parts = merged.groupBy("part").agg(F.count("*").alias("n"))  # one row per range
     base = (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base")
     placed = merged.join(maybe_broadcast(parts.select("part", base)), "part")
@@ -219,7 +219,7 @@ def archive_pages(pages: DataFrame, path: str | None = None, id_col: str = "page
     path = path or scratch_path(spark, "warc")
     write_archives(pages, path, id_col, url_col, html_col)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").where("length > 0")
-    entries = store(files.mapInArrow(_entries, ENTRY), "warc-runs")
+    entries = store(map_arrow(files, _entries, ENTRY), "warc-runs")
     history = capture_history(entries)
     # A revisit's payload is that of the response with its digest.
     size = history.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("bytes"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +56,23 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def worker_path(spark: SparkSession) -> None:
+    """Put this package's folder on the path of Python workers.
+
+    That serves sessions whose workers share the driver's file system; elsewhere the package comes
+    with the job (``--py-files``) or is installed.
+    """
+    env, home = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if home not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [home, env.get("PYTHONPATH")]))
+
+
+def map_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` by workers that know this package."""
+    worker_path(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
 def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Hint a broadcast if ``df`` has at most BROADCAST_ROWS rows; else leave the join to Spark."""
     n = df.limit(BROADCAST_ROWS + 1).count() if rows is None else rows

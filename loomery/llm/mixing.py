@@ -182,7 +182,13 @@ def mix_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with each row repeated as often as the mix takes it; same columns."""
-    times = mix_copies(docs, id_col, text_col, source_col).groupBy(F.col(id_col).alias("__id")).agg(F.expr("max(copies)").alias("__copies"))
-    joined = docs.join(times.where("__copies > 0"), docs[id_col].eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.expr("sequence(1, __copies)"))).select(*[docs[c] for c in docs.columns])
+    """``docs`` with each row repeated as often as the mix takes it; same columns.
+
+    Rows that share an id (or have none) are taken equally often, as often as the first of them.
+    """
+    names = docs.columns
+    inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    times = mix_copies(docs, id_col, text_col, source_col).groupBy(F.col(id_col).alias("taken_id")).agg(F.max("copies").alias("times"))
+    joined = inner.join(times.where("times > 0"), F.col(f"c{names.index(id_col)}").eqNullSafe(F.col("taken_id")))
+    repeated = joined.withColumn("copy", F.explode(F.expr("sequence(1, times)")))
+    return repeated.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

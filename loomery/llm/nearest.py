@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomery.llm.common import store
+from loomery.llm.common import store, worker_path
 
 #: Rows that the centres are fitted on, by a hash of the id.
 SAMPLE_ROWS = 20_000
@@ -123,6 +123,7 @@ def nearest(
     columns are ignored.
     """
     spark = vectors.sparkSession
+    worker_path(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.where(F.col("id").isNotNull() & _usable("v"))
     widths = rows.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).head(1)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomery.llm.common import maybe_broadcast, store, whole_text
+from loomery.llm.common import map_arrow, maybe_broadcast, store, whole_text
 from loomery.llm.tokens import word_encoder
 from loomery.llm.words import blocks
 
@@ -111,7 +111,7 @@ def pack(
     packed once per row. An empty table gives no pieces. Other columns are ignored.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(F.col(text_col)).alias("text"))
-    tokens = store(plain.mapInArrow(_tokenise(encoder, end_id), TOKENS), "pack-ids")
+    tokens = store(map_arrow(plain, _tokenise(encoder, end_id), TOKENS), "pack-ids")
     # One row per partition of the first pass.
     parts = tokens.groupBy("part").agg(F.sum("n").alias("sum"))
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
@@ -119,4 +119,4 @@ def pack(
     parts = parts.select("part", (F.sum("sum").over(upto) - F.col("sum")).alias("base"), total.alias("total"))
     placed = tokens.join(maybe_broadcast(parts), "part")
     placed = placed.select("doc_id", "ids", "n", (F.col("base") + F.col("before")).alias("start"), "total")
-    return placed.mapInArrow(_cut(max_tokens), PIECES)
+    return map_arrow(placed, _cut(max_tokens), PIECES)

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm.common import whole_text
+from loomery.llm.common import map_arrow, whole_text
 from loomery.llm.words import Memo, blocks, coded, gather, sums
 
 WORD_FILE, PIECE_FILE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -153,5 +153,5 @@ def token_counts(docs: DataFrame, limit: int = TOKEN_LIMIT, id_col: str = "doc_i
 
     text = whole_text(F.col(text_col))
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    counted = plain.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    counted = map_arrow(plain, run, "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

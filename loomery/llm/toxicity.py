@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm.common import whole_text
+from loomery.llm.common import map_arrow, whole_text
 from loomery.llm.words import Memo, blocks, coded
 
 #: Labelled rows of each label, by a hash of the id, and bytes of their texts, that fitting may use.
@@ -213,7 +213,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], carry: list[str], te
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(p)], [f"c{i}" for i in range(len(carry))] + ["__score"])
 
     schema = wanted.drop("__text").schema.add("__score", "double")
-    return wanted.mapInArrow(run, schema)
+    return map_arrow(wanted, run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
