@@ -9,11 +9,21 @@ order, rarest first, two classes that agree on ``m`` coordinates share one among
 and a class with fewer than ``m`` such coordinates is skipped altogether. Passages that many
 documents share thus cost little: their pairs come last in the order.
 
-Of a posting list every member is tried against the list's first member only, which makes as
-many pairs as members. Lists whose members are then all in one component are done. In the
-others, pairs across components are tried; pairs inside one need no test, since only components
-are asked for. A pair is retained if the signatures agree on ``m`` coordinates, and linked if
-the full shingle sets, read from the texts again, are as similar as asked.
+Classes that met in a list are read again, and their full shingle sets tell how many shingles
+each shares with any other of them. No partner can have more in common with it, which bounds the
+similarity of a pair from two numbers each: the edits of a near copy are mostly its own. Pairs
+that the bound rules out are never formed.
+
+Of a posting list every member is tried against one centre only, the member that shares the
+largest part of its set (of a text and its edited copies that is the text), which makes as many
+pairs as members. Pairs inside one component need no test, since only components are asked for.
+Of two members of different components one at least is not linked with the centre, and then the
+two can be linked only if their differences from the centre overlap: with d and d' elements in
+which they differ from it, ``(d + d' - r * (n + n')) / 2`` elements at least have to be the same,
+r being (1 - t) / (1 + t), and that is never 0. So members of one centre are posted once more,
+under their differences, rarest first and again only as far as a partner must show up. Edits that
+copies made by themselves are shared with no one and cost nothing. A pair is retained if the
+signatures agree on ``m`` coordinates, and linked if the full sets are as similar as asked.
 """
 
 from __future__ import annotations
@@ -28,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm.common import maybe_broadcast, store, whole_text
+from loomery.llm.common import map_arrow, maybe_broadcast, store, whole_text
 from loomery.llm.components import components
 from loomery.llm.words import Memo, blocks, coded
 
@@ -137,12 +147,10 @@ def _sets(width: int) -> Callable:
         shingles = Shingler(width)
         for b in batches:
             for first, end in blocks(b.column("text")):
-                keys, sets = [], []
-                for s in shingles(b.column("text").slice(first, end - first)):
-                    keys.append(_keys(s))
-                    sets.append(s.tobytes())
-                k1, k2 = zip(*keys)
-                yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(sets, pa.binary())], ["k1", "k2", "set"])
+                found = list(shingles(b.column("text").slice(first, end - first)))
+                k1, k2 = zip(*map(_keys, found))
+                sets = pa.array([np.sort(s.view(np.int64)) for s in found], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), sets], ["k1", "k2", "set"])
 
     return run
 
@@ -152,10 +160,9 @@ def _confirm(percent: int) -> Callable:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                short, long = sorted((x, y), key=len)
+                short, long = sorted((x.values.to_numpy(), y.values.to_numpy()), key=len)
                 both = int((long[np.minimum(np.searchsorted(long, short), len(long) - 1)] == short).sum())
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+                ok.append(100 * both >= percent * (len(short) + len(long) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
@@ -175,7 +182,7 @@ def near_duplicates(
     m = least_matches(percent, coordinates)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), whole_text(F.col(text_col)).alias("text"))
     sketch = "doc_id long, row long, n long, k1 long, k2 long, sig array<int>"
-    rows = store(plain.mapInArrow(_sketch(width, coordinates), sketch), "near-sketch")
+    rows = store(map_arrow(plain, _sketch(width, coordinates), sketch), "near-sketch")
 
     # Classes of equal sets, each named by its first row.
     linkable = (F.col("n") > 0) & F.col("doc_id").isNotNull()
@@ -184,21 +191,28 @@ def near_duplicates(
     nodes = store(rows.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "sig"), "near-nodes")
 
     posted = store(_postings(nodes, m, coordinates), "near-postings")
-    lists = posted.groupBy("token").agg(F.min("node").alias("b"), F.count("*").alias("size")).where("size > 1")
-    stars = posted.join(lists, "token").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    shared = posted.groupBy("token").count().where("count > 1").select("token")
+    posted = store(posted.join(shared, "token", "left_semi"), "near-shared")
+    sets, facts = _met(posted, classes, plain, width, percent)
+    posted = store(posted.join(facts, "node"), "near-alive")
+
+    # The bound: 100 * i >= percent * (n + n' - i) must hold for an intersection i as large as can be.
+    may = F.expr(f"least(free, free_b) * {100 + percent} >= {percent} * (n + n_b)")
+    rank = F.struct((-F.col("free") / F.col("n")).alias("own"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("free").alias("free_b"))
+    lists = posted.groupBy("token").agg(F.min(rank).alias("c")).select("token", "c.b", "c.n_b", "c.free_b")
+    stars = posted.join(lists, "token").where((F.col("node") != F.col("b")) & may).select(F.col("node").alias("a"), "b").distinct()
     stars = store(stars, "near-stars")
-    linked, sets = _linked(stars, nodes, classes, plain, m, width, percent, None)
+    linked = _linked(stars, nodes, sets, m, percent)
     labels = components(linked)
 
-    # Lists that still hold more than one component.
+    # Centres whose members are still in more than one component.
     named = posted.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = store(named, "near-named")
-    open_ = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
-    rest = store(named.join(open_, "token", "left_semi"), "near-open")
-    other = rest.select("token", F.col("node").alias("b"), F.col("label").alias("label_b"))
-    across = rest.select("token", F.col("node").alias("a"), "label").join(other, "token").where("a > b and label <> label_b")
-    across = across.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more, _ = _linked(store(across, "near-across"), nodes, classes, plain, m, width, percent, sets)
+    around = named.join(lists, "token").select(F.col("node").alias("a"), "b", "n", "free", "label", "n_b").distinct()
+    around = store(around, "near-around")
+    open_ = around.groupBy("b").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("b")
+    rest = around.join(open_, "b", "left_semi").where("a <> b")
+    across = _sharing_edits(rest, sets, percent, may)
+    more = _linked(store(across, "near-across"), nodes, sets, m, percent)
     if more.limit(1).count():
         labels = components(more, labels)
 
@@ -223,32 +237,74 @@ def _postings(nodes: DataFrame, m: int, coordinates: int) -> DataFrame:
     return met.where(F.size("all") >= m).select("node", F.explode(prefix).alias("t")).select(F.col("t.token").alias("token"), "node")
 
 
-def _linked(
-    pairs: DataFrame, nodes: DataFrame, classes: DataFrame, plain: DataFrame, m: int, width: int, percent: int, sets: DataFrame | None
-) -> tuple[DataFrame, DataFrame]:
-    """(pairs that are linked, sets read so far): agreement of signatures first, then of the sets."""
-    a, b = (nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    same = F.expr("size(filter(zip_with(sig_a, sig_b, (x, y) -> x = y), x -> x))")
-    near = store(pairs.join(a, "a").join(b, "b").where(same >= m).select("a", "b"), "near-pairs")
-    used = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    if sets is not None:
-        used = used.join(sets.select("node"), "node", "left_anti")
-    used = store(used.join(classes, "node").select("node", "doc", "k1", "k2"), "near-used")
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each pair the elements that one set has and the other has not; the sides are told apart."""
+    other = np.int64(SEED << 20 | 1)
+    for batch in batches:
+        found = []
+        for x, y in zip(batch.column("set_a"), batch.column("set_b")):
+            x, y = x.values.to_numpy(), y.values.to_numpy()
+            found.append(np.concatenate([np.setdiff1d(x, y, True), np.setdiff1d(y, x, True) ^ other]))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.list_(pa.int64()))], ["a", "b", "edits"])
+
+
+def _sharing_edits(around: DataFrame, sets: DataFrame, percent: int, may: F.Column) -> DataFrame:
+    """a, b: members of one centre, of different components, whose differences from it may overlap enough."""
+    x, y = (sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
+    edits = map_arrow(around.select("a", "b").join(x, "a").join(y, "b"), _differences, "a long, b long, edits array<bigint>")
+    edits = store(edits.join(around, ["a", "b"]), "near-edits")
+    each = edits.select("a", "b", F.explode("edits").alias("e"))
+    common = each.groupBy("b", "e").count().where("count > 1")
+    d, r = F.size("edits"), (100 - percent) / (100 + percent)
+    near = d * (100 + percent) <= (F.col("n") + F.col("n_b")) * (100 - percent)
+    # What a partner must have in common with it; a little less, for the rounding of doubles.
+    least = F.when(near, d * ((1 - r) / 2)).otherwise((d - (F.col("n") + F.col("n_b")) * r) / 2)
+    least = F.greatest(F.ceil(least - 1e-6), F.lit(1)).cast("int")
+    met = each.join(common, ["b", "e"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("count", "e"))).alias("met"))
+    met = met.join(edits.withColumn("least", least), ["a", "b"]).where(F.size("met") >= F.col("least"))
+    prefix = F.slice("met", F.lit(1), F.size("met") - F.col("least") + F.lit(1))
+    posted = store(met.select("a", F.col("b").alias("centre"), "n", "free", "label", F.explode(prefix).alias("p")).withColumn("e", F.col("p.e")).drop("p"), "near-edit-postings")
+    other = posted.select("centre", "e", F.col("a").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), F.col("free").alias("free_b"))
+    pairs = posted.join(other, ["centre", "e"]).where((F.col("a") > F.col("b")) & (F.col("label") != F.col("label_b")) & may)
+    return pairs.select("a", "b").distinct()
+
+
+def _met(posted: DataFrame, classes: DataFrame, plain: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(node and set, node with its size n and the number ``free`` of its shingles that others have) of posted classes.
+
+    Only classes that share enough to be linked with anything are in the second table.
+    """
+    used = store(posted.select("node").distinct().join(classes, "node").select("node", "doc", "k1", "k2", "n"), "near-used")
     ids = maybe_broadcast(used.select(F.col("doc").alias("doc_id")))
-    read = plain.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets(width), "k1 long, k2 long, set binary")
+    read = map_arrow(plain.join(ids, "doc_id", "left_semi").select("text"), _sets(width), "k1 long, k2 long, set array<bigint>")
     read = read.join(used.select("node", "k1", "k2"), ["k1", "k2"]).select("node", "set")
     # A document that repeats with its id is read as often.
-    read = store(read.dropDuplicates(["node"]), "near-sets")
-    sets = read if sets is None else sets.unionByName(read)
+    sets = store(read.groupBy("node").agg(F.first("set").alias("set")), "near-sets")
+    alone = sets.select("node", F.explode("set").alias("shingle")).groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("of"))
+    alone = alone.where("of = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    facts = used.select("node", "n").join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("free"))
+    return sets, store(facts.where(f"100 * free >= {percent} * n"), "near-facts")
+
+
+def _linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, m: int, percent: int) -> DataFrame:
+    """The pairs that are linked: agreement of signatures first, then of the sets."""
+    a, b = (nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+    same = F.expr("size(filter(zip_with(sig_a, sig_b, (x, y) -> x = y), x -> x))")
+    near = store(pairs.join(a, "a").join(b, "b").where(same >= m).select("a", "b"), "near-pairs")
     a, b = (sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
     both = near.join(a, "a").join(b, "b")
-    return store(both.mapInArrow(_confirm(percent), "a long, b long"), "near-links"), sets
+    return store(map_arrow(both, _confirm(percent), "a long, b long"), "near-links")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component; same columns. Rows with a null id stay."""
+    """``docs`` with one row of each component; same columns.
+
+    Rows with a null id stay. Rows that repeat with their id stay or go together.
+    """
+    names = docs.columns
     marks = near_duplicates(docs, width, percent, id_col, text_col)
-    gone = marks.where(f"not kept and `{id_col}` is not null").select(F.col(id_col).alias("__id"), "component_id")
-    # Of an id that repeats, one row is kept and the others are not: ids go only where none is kept.
-    gone = gone.where("__id <> component_id").select("__id").distinct()
-    return docs.join(maybe_broadcast(gone), docs[id_col] == F.col("__id"), "left_anti")
+    # Of an id that repeats one row is kept and the others are not: an id goes only if none is.
+    gone = marks.groupBy(F.col(id_col).alias("gone_id")).agg(F.max("kept").alias("stays")).where("not stays and gone_id is not null")
+    inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    left = inner.join(maybe_broadcast(store(gone.select("gone_id"), "near-gone")), F.col(f"c{names.index(id_col)}") == F.col("gone_id"), "left_anti")
+    return left.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
