@@ -13,9 +13,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: UTF-8 bytes of texts that are split at once; a longer text forms a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 #: Distinct words that a process remembers between blocks.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 
 
 def blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
