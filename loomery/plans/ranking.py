@@ -49,7 +49,7 @@ def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics(bags(spark, sf_dir))[2]
 
 
-SCORED = """ask AS (SELECT id AS q, term, CASE WHEN term LIKE 'name:%' THEN 3 ELSE 1 END * tf * 256 AS w FROM bag WHERE id % 50 = 0),
+SCORED = """ask AS (SELECT id AS q, term, CASE WHEN term LIKE 'name:%' THEN 3 ELSE 1 END * tf * 256 AS w FROM bag WHERE id % 20 = 0),
 score AS (SELECT q, bag.id, sum(((w * idf * 22 * tf * avg)::HUGEINT * 65536 // (10 * tf * avg + 3 * avg + 9 * len))) AS score,
                  count(*) FILTER (WHERE term LIKE 'name:%') AS n_name, count(*) FILTER (WHERE term LIKE 'shape:%') AS n_shape
           FROM ask JOIN idf USING (term) JOIN bag USING (term) JOIN size USING (id), n WHERE idf > 0 AND bag.id <> q GROUP BY q, bag.id),
@@ -58,7 +58,7 @@ top AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS
 
 @query(f"WITH {BAG}, {SCORED} SELECT q, rank, id, score::BIGINT AS score, n_name, n_shape, n_name >= 2 AND n_shape >= 1 AS same_role FROM top WHERE rank <= 5")
 def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every fiftieth part, the five parts that say most in the same words.
+    """For every twentieth part, the five parts that say most in the same words.
 
     Contributions are whole numbers, divided term by term before they are summed, so the order of
     the sum cannot matter. Terms that half the parts have score nothing and are left out before the join.
@@ -66,7 +66,7 @@ def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     bag = bags(spark, sf_dir)
     size, n, idf = statistics(bag)
     weight = F.when(F.col("term").startswith("name:"), CHANNELS["name"]).otherwise(CHANNELS["shape"]) * F.col("tf") * 256
-    ask = bag.where("id % 50 = 0").select(F.col("id").alias("q"), "term", weight.alias("w"))
+    ask = bag.where("id % 20 = 0").select(F.col("id").alias("q"), "term", weight.alias("w"))
     hit = ask.join(idf.where("idf > 0"), "term").join(bag, "term").where("id <> q").join(size, "id").join(F.broadcast(n))
     part = F.expr("cast(w * idf * 22 * tf * avg as decimal(38,0)) * 65536 div (10 * tf * avg + 3 * avg + 9 * len)").cast("decimal(28,0)")
     of = lambda c: F.count_if(F.col("term").startswith(c + ":")).alias(f"n_{c}")
