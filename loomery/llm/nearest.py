@@ -8,8 +8,9 @@ after each block a hypothesis test drops the candidates whose partial distance i
 belong to the nearest seen so far; only survivors read the next block. What is left is ranked by
 the exact distance on the original vectors in double precision.
 
-Lists are cut into blocks of BLOCK_ROWS rows, whatever their size, so a vector that a third of
-all rows have is spread over many tasks; each task keeps a query's best of its block only.
+Lists are cut into blocks of rows, and the queries of a list into blocks of queries, so neither a
+vector that a third of all rows have nor a query set that grows with the table meets in one task;
+each task keeps a query's best of its block only.
 """
 
 from __future__ import annotations
@@ -31,8 +32,9 @@ MAX_LISTS, ROWS_PER_LIST, ROUNDS, SEED = 1024, 200, 8, 11
 #: Probes are set so that lists of this share of the true neighbours are visited, measured on so
 #: many queries of the sample, whose neighbours are farther and thus harder than those of all rows.
 TARGET, TRIALS, MIN_PROBES = 0.96, 200, 8
-#: Rows of one list that one task scans at a time.
-BLOCK_ROWS = 512
+#: Rows of one list that a task scans at a time: a 400th of the table within these bounds, for a
+#: query's vector is sent to every block. And queries that meet such a block at a time.
+BLOCK_ROWS, MOST_BLOCK_ROWS, BLOCK_QUERIES = 512, 16_384, 8192
 COLUMNS = 16
 #: The test's slack: a candidate is dropped if its scaled partial distance exceeds the bound by the
 #: factor 1 + SLACK / sqrt(d).
@@ -154,15 +156,18 @@ def nearest(
 
         return run
 
-    # Every row in its list, in blocks of about BLOCK_ROWS rows by a hash of its id.
+    # Every row in its list, in blocks by a hash of its id.
     kind = "id long, v array<double>, list int"
     indexed = store(rows.mapInPandas(assign(1), kind), "nearest-index")
-    sizes = indexed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))  # one row per list
+    block_rows, turns = max(BLOCK_ROWS, min(MOST_BLOCK_ROWS, n // 400)), 1 + n // query_every // BLOCK_QUERIES
+    sizes = indexed.groupBy("list").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))  # one row per list
     block = F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int")
-    indexed = indexed.join(F.broadcast(sizes), "list").select("list", block.alias("block"), F.lit(False).alias("asks"), "id", "v")
+    every = F.explode(F.sequence(F.lit(0), F.lit(turns - 1)))
+    indexed = indexed.join(F.broadcast(sizes), "list").select("list", block.alias("block"), every.alias("turn"), F.lit(False).alias("asks"), "id", "v")
     asked = rows.where(F.col("id") % query_every == 0).groupBy("id").agg(F.min("v").alias("v"))
     probing = asked.mapInPandas(assign(probes), kind).join(F.broadcast(sizes), "list")
-    probing = probing.select("list", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(True).alias("asks"), "id", "v")
+    one = F.pmod(F.xxhash64("id"), F.lit(turns)).cast("int")
+    probing = probing.select("list", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), one.alias("turn"), F.lit(True).alias("asks"), "id", "v")
 
     def visit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         asks = part["asks"].to_numpy()
@@ -175,7 +180,7 @@ def nearest(
         return pd.DataFrame({"query_id": ids[list(i)], "vec_id": list(vec), "score": list(score)})
 
     both = indexed.unionByName(probing)
-    found = both.groupBy("list", "block").applyInPandas(visit, "query_id long, vec_id long, score double")
+    found = both.groupBy("list", "block", "turn").applyInPandas(visit, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
