@@ -113,3 +113,13 @@ def test_equal_vectors_are_ties_by_id(spark):
     df = spark.createDataFrame([(i, [1.0, 2.0, 3.0]) for i in range(3000)], "vec_id long, embedding array<float>")
     got = nearest.nearest(df, query_every=1000, k=3).collect()
     assert {(r.query_id, r["rank"]): r.vec_id for r in got} == {(q, k): v for q, vs in ((0, (1, 2, 3)), (1000, (0, 1, 2)), (2000, (0, 1, 2))) for k, v in zip((1, 2, 3), vs)}
+
+
+def test_blocks_of_rows_and_queries_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(nearest, "BLOCK_QUERIES", 7)
+    monkeypatch.setattr(nearest, "ROWS_PER_LIST", 50)
+    vectors = np.random.default_rng(1).normal(size=(400, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    rows = nearest.nearest(df, query_every=10, k=5, probes=10**6).collect()
+    assert len(rows) == 200 and _recall(rows, vectors, np.arange(400), 5) == 1
