@@ -263,9 +263,13 @@ def _sharing_edits(around: DataFrame, sets: DataFrame, percent: int, may: F.Colu
     met = each.join(common, ["b", "e"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("count", "e"))).alias("met"))
     met = met.join(edits.withColumn("least", least), ["a", "b"]).where(F.size("met") >= F.col("least"))
     prefix = F.slice("met", F.lit(1), F.size("met") - F.col("least") + F.lit(1))
-    posted = store(met.select("a", F.col("b").alias("centre"), "n", "free", "label", F.explode(prefix).alias("p")).withColumn("e", F.col("p.e")).drop("p"), "near-edit-postings")
-    other = posted.select("centre", "e", F.col("a").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), F.col("free").alias("free_b"))
-    pairs = posted.join(other, ["centre", "e"]).where((F.col("a") > F.col("b")) & (F.col("label") != F.col("label_b")) & may)
+    place = met.select("a", F.col("b").alias("centre"), "n", "free", "label", d.alias("d"), F.size("met").alias("len"), F.posexplode(prefix).alias("pos", "p"))
+    posted = store(place.withColumn("e", F.col("p.e")).withColumn("left", F.col("len") - F.col("pos")).drop("p", "pos", "len"), "near-edit-postings")
+    same = [F.col(c).alias(f"{c}_b") for c in ("label", "n", "free", "d", "left")]
+    other = posted.select("centre", "e", F.col("a").alias("b"), *same)
+    # Where two lists first agree, what is left of either must still be as long as the overlap has to be.
+    enough = F.expr(f"2 * {100 + percent} * least(left, left_b) >= {100 + percent} * (d + d_b) - {100 - percent} * (n + n_b)")
+    pairs = posted.join(other, ["centre", "e"]).where((F.col("a") > F.col("b")) & (F.col("label") != F.col("label_b")) & may & enough)
     return pairs.select("a", "b").distinct()
 
 
