@@ -71,7 +71,8 @@ def exact_duplicates(
         "exact-met",
     )
     first = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row")))
-    groups = met.groupBy(*full).agg(first.alias("__first"), F.count("*").alias("group_size"))
+    # Stored, so that both sides of the join come from a shuffle that adaptive execution may split.
+    groups = store(met.groupBy(*full).agg(first.alias("__first"), F.count("*").alias("group_size")), "exact-groups")
     joined = met.join(groups, full).select(
         "__carry.*", F.col("__first.id").alias("keep_id"), "group_size", (F.col("__row") == F.col("__first.row")).alias("kept")
     )

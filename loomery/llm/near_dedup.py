@@ -199,7 +199,7 @@ def near_duplicates(
     # The bound: 100 * i >= percent * (n + n' - i) must hold for an intersection i as large as can be.
     may = F.expr(f"least(free, free_b) * {100 + percent} >= {percent} * (n + n_b)")
     rank = F.struct((-F.col("free") / F.col("n")).alias("own"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("free").alias("free_b"))
-    lists = posted.groupBy("token").agg(F.min(rank).alias("c")).select("token", "c.b", "c.n_b", "c.free_b")
+    lists = store(posted.groupBy("token").agg(F.min(rank).alias("c")).select("token", "c.b", "c.n_b", "c.free_b"), "near-lists")
     stars = posted.join(lists, "token").where((F.col("node") != F.col("b")) & may).select(F.col("node").alias("a"), "b").distinct()
     stars = store(stars, "near-stars")
     linked = _linked(stars, nodes, sets, m, percent)
@@ -231,7 +231,9 @@ def _postings(nodes: DataFrame, m: int, coordinates: int) -> DataFrame:
     """token, node: the prefix of each class that could agree with another on m coordinates."""
     value = F.expr("(cast(pos as bigint) << 32) | (cast(v as bigint) & 4294967295)")
     tokens = nodes.select("node", F.posexplode("sig").alias("pos", "v")).select("node", value.alias("token"))
-    common = tokens.groupBy("token").count().where("count > 1")
+    # Stored, here and below, so that both sides of the join come from a shuffle that adaptive
+    # execution may split: a large group of near copies makes frequent tokens.
+    common = store(tokens.groupBy("token").count().where("count > 1"), "near-common")
     met = tokens.join(common, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("all"))
     prefix = F.slice("all", F.lit(1), F.size("all") - F.lit(m) + F.lit(1))
     return met.where(F.size("all") >= m).select("node", F.explode(prefix).alias("t")).select(F.col("t.token").alias("token"), "node")
@@ -254,7 +256,7 @@ def _sharing_edits(around: DataFrame, sets: DataFrame, percent: int, may: F.Colu
     edits = map_arrow(around.select("a", "b").join(x, "a").join(y, "b"), _differences, "a long, b long, edits array<bigint>")
     edits = store(edits.join(around, ["a", "b"]), "near-edits")
     each = edits.select("a", "b", F.explode("edits").alias("e"))
-    common = each.groupBy("b", "e").count().where("count > 1")
+    common = store(each.groupBy("b", "e").count().where("count > 1"), "near-common-edits")
     d, r = F.size("edits"), (100 - percent) / (100 + percent)
     near = d * (100 + percent) <= (F.col("n") + F.col("n_b")) * (100 - percent)
     # What a partner must have in common with it; a little less, for the rounding of doubles.
