@@ -55,7 +55,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = archive.archive_pages(_table(spark, sf_dir, "pages"))
-    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "position")
+    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,4 +96,15 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, d.doc_id) AS component_id, coalesce(c.c, d.doc_id) = d.doc_id AS kept
         FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
     """,
+    # Base32 by hand: five hex digits are four letters.
+    "op9_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+        t AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31), 1)), '') AS payload_digest,
+               CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> top THEN top END AS refers_to
+        FROM t
+    """,
 }
