@@ -105,8 +105,8 @@ def unmentioned_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT p_partkey AS id, string_split(lower(p_name || ' ' || replace(p_brand, '#', ' ')), ' ') AS w, len(string_split(p_name || ' ' || replace(p_brand, '#', ' '), ' ')) AS n FROM part"""
-    .replace("string_split(lower(p_name || ' ' || replace(p_brand, '#', ' ')), ' ') AS w", "array_to_string(string_split(lower(p_name || ' ' || replace(p_brand, '#', ' ')), ' '), '|') AS w")
+    """WITH w AS (SELECT p_partkey AS id, string_split(lower(p_name || ' ' || replace(p_brand, '#', ' ')), ' ') AS w FROM part)
+       SELECT id, array_to_string(w, '|') AS w, len(w) AS n FROM w"""
 )
 def identifier_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of a camel-case identifier made of a part's name and brand."""

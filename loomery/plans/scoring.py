@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomery.operators.stats import clopper_pearson
 from loomery.plans.registry import query
-from loomery.sources.facts import files, in_dir
+from loomery.sources.facts import files, in_dir, refs
 from loomery.sources.tables import table
 
 HALVES = """m AS (SELECT l_suppkey AS id, sum(CASE WHEN l_orderkey % 2 = 0 THEN l_quantity END)::BIGINT AS base, sum(CASE WHEN l_orderkey % 2 = 1 THEN l_quantity END)::BIGINT AS now
@@ -96,8 +94,6 @@ def soft_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def line_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score per top directory: a thousand less the share of lines that findings name, each line once."""
-    from loomery.sources.facts import refs
-
     f = files(spark, sf_dir)
     lines = F.sequence(F.greatest(F.lit(1), F.col("lines") - 12), F.col("lines"))
     e = f.where("lines > 20").select("id", F.explode(lines).alias("line"))
@@ -122,7 +118,7 @@ def binomial_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {HALVES} SELECT id, 'ratchet' AS rule_id, CASE WHEN now > greatest(base * 102 // 100, base + 10) THEN 'error' WHEN now > base THEN 'warning' ELSE 'note' END AS level,
-       md5(concat(least('base', 'now'), ':', id)) AS member FROM m WHERE base IS NOT NULL AND now IS NOT NULL"""
+       md5(concat('base:', id)) AS member FROM m WHERE base IS NOT NULL AND now IS NOT NULL"""
 )
 def finding_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings as the rows of a static-analysis report: rule, level and a stable member identity."""
@@ -133,9 +129,7 @@ def finding_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sarif(findings: DataFrame, path: str) -> None:
-    """Write findings as SARIF result objects, one JSON object a line; a driver-side header joins them up."""
+    """Write findings as SARIF result objects, one JSON object a line."""
     result = F.struct(F.col("rule_id").alias("ruleId"), F.col("level"), F.struct(F.concat(F.lit("member "), "member").alias("text")).alias("message"))
     findings.select(F.to_json(result).alias("value")).write.mode("overwrite").text(path)
 
-
-SARIF_HEADER = json.dumps({"version": "2.1.0", "runs": []})
