@@ -3,11 +3,12 @@
 A word is the mean of vectors of its character n-grams and of itself, each found in a table of
 hashed buckets, so a misspelling or an inflection never seen shares most vectors with the word it
 comes from. Words are averaged over short passages, a linear softmax scores each passage, and a
-document's evidence is the log of the sum over its passages: one bad passage shows in a text of
-any length. Vectors and softmax are trained together, in numpy, by Adagrad.
+document's evidence is the largest score of a passage: one bad passage shows in a text of any
+length, and texts joined into one have the evidence of the worst of them, however many they are.
+Vectors and softmax are trained together, in numpy, by Adagrad.
 
-Fitting takes a bounded sample of labelled rows (SAMPLE of each label, texts up to SAMPLE_BYTES)
-to the driver. Since the softmax is linear, what scoring needs of the model is one number per
+Fitting takes a bounded sample of labelled rows (SAMPLE of each label, of SAMPLE_BYTES a row taken
+together; one text may be much longer) to the driver. Since the softmax is linear, what scoring needs of the model is one number per
 bucket; that table of a fixed size goes to every task, and whole texts are scored there.
 """
 
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from loomery.llm.common import map_arrow, whole_text
 from loomery.llm.words import Memo, blocks, coded
 
-#: Labelled rows of each label, by a hash of the id, and bytes of their texts, that fitting may use.
+#: Labelled rows of each label, by a hash of the id, and bytes of their texts per row of these
+#: numbers, that fitting may use. The bytes bound the sum, not a text.
 SAMPLE = {1: 1000, 0: 2000}
 SAMPLE_BYTES = 16_384
 BUCKET_BITS, DIM = 17, 12
@@ -89,7 +91,7 @@ def _passages(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _evidence(word_scores: np.ndarray, offsets: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Log-sum over passages per text (minus infinity without words), passage scores and bounds."""
+    """Largest passage score per text (minus infinity without words), passage scores and bounds."""
     starts, first = _passages(offsets)
     out = np.full(len(first) - 1, -np.inf)
     if not len(starts):
@@ -97,9 +99,7 @@ def _evidence(word_scores: np.ndarray, offsets: np.ndarray, bias: float) -> tupl
     length = np.diff(np.append(starts, len(word_scores)))
     s = np.add.reduceat(word_scores, starts) / length + bias
     some = np.flatnonzero(np.diff(first))
-    top = np.maximum.reduceat(s, first[some])
-    each = np.exp(s - np.repeat(top, np.diff(first)[some]))
-    out[some] = top + np.log(np.add.reduceat(each, first[some]))
+    out[some] = np.maximum.reduceat(s, first[some])
     return out, s, starts, first
 
 
@@ -142,7 +142,10 @@ def fit(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
             off = 1 / (1 + np.exp(-np.clip(evidence, -40, 40))) - truth[some]
             per = np.diff(first)
             off[per == 0], evidence[per == 0] = 0, 0
-            flat = np.repeat(off, per) * np.exp(s - np.repeat(evidence, per))
+            # A text's error is shared by its passages as their softmax; the largest alone learns slower.
+            share = np.exp(s - np.repeat(evidence, per))
+            owner = np.repeat(np.arange(len(per)), per)
+            flat = np.repeat(off, per) * share / np.bincount(owner, share, len(per))[owner]
             length = np.diff(np.append(starts, len(where)))
             by_word = np.bincount(where, np.repeat(flat / length, length), len(used))
             by_bucket = np.bincount(rows, np.repeat(by_word / n, n), size)
@@ -158,19 +161,19 @@ def fit(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """Labelled rows that fitting may see: not held out, bounded in number and in bytes.
+    """Labelled rows that fitting may see: not held out, bounded in number; ``train`` bounds the bytes.
 
     A document labelled more than once, or more than once present, counts once, with its largest
     label and its first text.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col)).cast("int").alias("__label"))
-    # The rows are chosen by a hash of their ids; more than asked for, since long texts drop out.
+    # The rows are chosen by a hash of their ids; more than asked for, since some have no text.
     known = known.withColumn("__h", F.xxhash64("__id"))
     some = [known.where(F.col("__label") == k).orderBy("__h", "__id").limit(2 * n) for k, n in SAMPLE.items()]
     ids = F.broadcast(some[0].unionByName(some[1]))
     text = docs.select(F.col(id_col).alias("__id"), whole_text(F.col(text_col)).alias("__text"))
-    text = text.where(F.octet_length("__text") <= SAMPLE_BYTES).join(ids, "__id")
+    text = text.join(ids, "__id")
     return text.groupBy("__id", "__label", "__h").agg(F.min("__text").alias("__text"))
 
 
@@ -182,10 +185,30 @@ def held_out(doc_id) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float]:
     """The model, from at most SAMPLE rows of each label. Without labelled rows: no evidence anywhere."""
     rows = sample(docs, labels, id_col, text_col, label_col)
-    chosen = []
+    sizes = rows.select("__id", "__label", F.octet_length("__text").alias("n")).orderBy("__h", "__id").collect()
+    chosen = within([(r["__id"], r["__label"], r["n"]) for r in sizes])
+    if not chosen:
+        return fit([], [])
+    kept = docs.sparkSession.createDataFrame([(i,) for i in chosen], rows.select("__id").schema)
+    text = {r["__id"]: r for r in rows.join(F.broadcast(kept), "__id").select("__id", "__label", "__text").collect()}
+    found = [text[i] for i in chosen]
+    return fit([r["__text"] for r in found], [r["__label"] for r in found])
+
+
+def within(sizes: list[tuple]) -> list:
+    """Ids of the rows (id, label, bytes) that the sample takes: of each label in order, what fits.
+
+    A text of any length is taken while the label's bytes last; one that is larger than what is
+    left gives way to the next.
+    """
+    out = []
     for k, n in SAMPLE.items():
-        chosen += rows.where(F.col("__label") == k).orderBy("__h", "__id").limit(n).select("__label", "__text").collect()
-    return fit([r["__text"] for r in chosen], [r["__label"] for r in chosen])
+        count, left = n, n * SAMPLE_BYTES
+        for i, label, size in sizes:
+            if label == k and count and size <= left:
+                out.append(i)
+                count, left = count - 1, left - size
+    return out
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], carry: list[str], text_col: str = "text") -> DataFrame:
