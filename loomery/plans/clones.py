@@ -10,6 +10,7 @@ from loomery.functions import words
 from loomery.operators import graph
 from loomery.operators.intervals import owner_join, span_union
 from loomery.plans.registry import query
+from loomery.session import settled
 from loomery.sources.tables import table
 
 KGRAM, WINDOW, HOT = 5, 4, 64
@@ -76,21 +77,55 @@ run AS (SELECT id_a, id_b, diagonal, min(k) AS start_a, count(*) + 4 AS n FROM (
     SELECT *, k - row_number() OVER (PARTITION BY id_a, id_b, diagonal ORDER BY k) AS i FROM hit) GROUP BY id_a, id_b, diagonal, i HAVING count(*) + 4 >= 6)"""
 
 
+def wide_grams(grams: DataFrame, least: int) -> DataFrame:
+    """id, k, h of every part of ``least`` tokens, spelled by the hashes of the k-grams in it."""
+    ahead = Window.partitionBy("id").orderBy("k").rowsBetween(0, least - KGRAM)
+    g = grams.select("id", "k", F.collect_list("h").over(ahead).alias("all"))
+    return g.where(F.size("all") == least - KGRAM + 1).select("id", "k", F.array_join("all", "").alias("h"))
+
+
+def shared(wide: DataFrame) -> DataFrame:
+    """h, n: parts that two streams or more have, and how many have them."""
+    return wide.groupBy("h").agg(F.countDistinct("id").alias("n")).where("n > 1")
+
+
 def runs(grams: DataFrame, least: int = 6, hot: int = HOT) -> DataFrame:
     """id_a, id_b, start_a, start_b, n: maximal equal runs of two streams, of ``least`` tokens or more.
 
-    Only k-grams of at most ``hot`` streams start a run; more frequent ones are phrases.
+    A run starts from a part of ``least`` tokens that both streams have. Parts of at most ``hot``
+    streams give all pairs of streams; those of more are chained in the order of (id, k), as in
+    ``hash_pairs``, so that every stream is in a run and the runs stay as many as the copies. Both
+    kinds continue a run that either has started.
     """
-    few = grams.groupBy("h").agg(F.countDistinct("id").alias("n")).where(f"n between 2 and {hot}").select("h")
-    g = grams.join(few, "h", "left_semi")
-    a, b = g.select("h", F.col("id").alias("id_a"), F.col("k").alias("k")), g.select("h", F.col("id").alias("id_b"), F.col("k").alias("k_b"))
-    hit = a.join(b, "h").where("id_a < id_b").select("id_a", "id_b", (F.col("k_b") - F.col("k")).alias("diagonal"), "k")
+    wide = wide_grams(grams, least)
+    wide = settled(wide.join(shared(wide), "h"))
+    few, many = wide.where(F.col("n") <= hot), wide.where(F.col("n") > hot)
+    a, b = few.select("h", F.col("id").alias("id_a"), F.col("k").alias("k")), few.select("h", F.col("id").alias("id_b"), F.col("k").alias("k_b"))
+    diagonal = (F.col("k_b") - F.col("k")).alias("diagonal")
+    cold = a.join(b, "h").where("id_a < id_b").select("id_a", "id_b", diagonal, "k")
+    chained = many.withColumn("next", F.lead(F.struct("id", "k")).over(Window.partitionBy("h").orderBy("id", "k"))).where("next.id > id")
+    chained = chained.select(F.col("id").alias("id_a"), F.col("next.id").alias("id_b"), (F.col("next.k") - F.col("k")).alias("diagonal"), "k")
+    # What is equal on the diagonals found so far, at parts that only the chain knows.
+    lines = cold.select("id_a", "id_b", "diagonal").union(chained.select("id_a", "id_b", "diagonal")).distinct()
+    on = lines.join(many.select(F.col("id").alias("id_a"), "k", "h"), "id_a").withColumn("k_b", F.col("k") + F.col("diagonal"))
+    on = on.join(many.select(F.col("id").alias("id_b"), F.col("k").alias("k_b"), "h"), ["id_b", "k_b", "h"], "left_semi")
+    hit = cold.unionByName(on.select("id_a", "id_b", "diagonal", "k"))
     by = Window.partitionBy("id_a", "id_b", "diagonal").orderBy("k")
     islands = hit.withColumn("i", F.col("k") - F.row_number().over(by)).groupBy("id_a", "id_b", "diagonal", "i")
-    found = islands.agg(F.min("k").alias("start_a"), (F.count("*") + KGRAM - 1).alias("n")).where(F.col("n") >= least)
+    found = islands.agg(F.min("k").alias("start_a"), (F.count("*") + least - 1).alias("n"))
     return found.select("id_a", "id_b", F.col("start_a").cast("long").alias("start_a"), (F.col("start_a") + F.col("diagonal")).cast("long").alias("start_b"), "n")
 
 
+def covered(grams: DataFrame, least: int = 6) -> DataFrame:
+    """id, first, last: the parts of each stream that a run of ``least`` tokens with any other covers.
+
+    Such runs consist of parts of ``least`` tokens that another stream has too; no pairs are needed.
+    """
+    wide = wide_grams(grams, least)
+    wide = wide.join(shared(wide).select("h"), "h", "left_semi")
+    return span_union(wide.select("id", F.col("k").cast("long").alias("first"), (F.col("k") + least).cast("long").alias("last")), "id")
+
+
 @query(f"WITH {GRAMS}, {CLONES} SELECT id_a, id_b, start_a, start_a + diagonal AS start_b, n FROM run")
 def clone_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs(kgrams(spark, sf_dir))
@@ -115,10 +150,7 @@ def clone_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cloned_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts of each turn that some clone run covers, touching ones as one."""
-    r = runs(kgrams(spark, sf_dir))
-    a = r.select(F.col("id_a").alias("id"), F.col("start_a").alias("first"), (F.col("start_a") + F.col("n")).alias("last"))
-    b = r.select(F.col("id_b").alias("id"), F.col("start_b").alias("first"), (F.col("start_b") + F.col("n")).alias("last"))
-    return span_union(a.unionAll(b), "id")
+    return covered(kgrams(spark, sf_dir))
 
 
 @query(

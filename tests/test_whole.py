@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from loomery.llm import toxicity
+from loomery.operators import graph
+from loomery.plans.clones import covered, runs
 from loomery.plans.structure import redundancy_rollup
 
 
@@ -35,3 +37,23 @@ def test_length_alone_is_not_toxic(spark):
 def test_long_labelled_texts_are_learnt_from():
     size = toxicity.SAMPLE_BYTES
     assert toxicity.within([(1, 0, 20 * size), (2, 1, 5 * size), (3, 0, 9), (4, 1, 1000 * size)]) == [2, 1, 3]
+
+
+def _grams(spark, streams):
+    return spark.createDataFrame([(i, k, " ".join(w[k : k + 5])) for i, w in streams.items() for k in range(len(w) - 4)], "id long, k int, h string")
+
+
+def test_frequent_copies_are_runs(spark):
+    """A text in 70 streams is found in each of them, and it continues the longer copy of two."""
+    common = [f"c{i}" for i in range(8)]
+    streams = {i: [f"x{i}", *common, f"y{i}"] for i in range(70)}
+    streams[3] = [*[f"p{i}" for i in range(7)], *common, *[f"q{i}" for i in range(7)]]
+    streams[60] = ["z", *streams[3], "z"]
+    got = runs(_grams(spark, streams)).collect()
+    assert (3, 60, 0, 1, 22) in {tuple(r) for r in got}
+    assert {(r.id_a, r.id_b) for r in got} >= {(i, i + 1) for i in range(69)}
+    assert {r.n for r in got} == {8, 22}
+    edges = spark.createDataFrame([(r.id_a, r.id_b) for r in got], "src long, dst long")
+    assert {r.component for r in graph.components(edges).collect()} == {0}
+    want = {(i, 1, 9) for i in range(70)} - {(3, 1, 9), (60, 1, 9)} | {(3, 0, 22), (60, 1, 23)}
+    assert {tuple(r) for r in covered(_grams(spark, streams)).collect()} == want
