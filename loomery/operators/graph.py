@@ -1,10 +1,10 @@
 """Fixpoints over an edge table (src, dst).
 
-All loops are semi-naive: a round joins only what the last round found, takes away what is known
-and ends when nothing is new. Each round is written to the shared folder, so plans stay small and
-a lost executor costs one round. The joins shuffle on the node; Spark broadcasts the side it
-measures to be small. ``MAX_ROUNDS`` guards against a graph deeper than anyone expects: passing it
-is an error, never a shortened answer.
+Loops are semi-naive where they can be: a round joins only what the last round found, takes away
+what is known and ends when nothing is new. Each round is written to the shared folder, so plans
+stay small and a lost executor costs one round. The joins shuffle on the node; Spark broadcasts
+the side it measures to be small. ``MAX_ROUNDS`` guards against a graph deeper than anyone
+expects: passing it is an error, never a shortened answer.
 """
 
 from __future__ import annotations
@@ -12,21 +12,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.session import settled
+from loomery.session import Rounds, settled
 
-MAX_ROUNDS = 500
+MAX_ROUNDS = 10_000
 
 
 def depths(edges: DataFrame, start: DataFrame) -> DataFrame:
     """id, depth: least number of edges from any row of ``start`` (id) to what it reaches, itself 0."""
-    step = edges.select("src", "dst").distinct()
-    known = front = settled(start.select("id").distinct().withColumn("depth", F.lit(0)))
+    step, rounds = settled(edges.select("src", "dst").distinct()), Rounds(edges.sparkSession)
+    front = rounds.add(start.select("id").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, MAX_ROUNDS):
         found = front.join(step, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
-        front = settled(found.join(known, "id", "left_anti").withColumn("depth", F.lit(depth)))
+        front = rounds.add(found.join(rounds.all(), "id", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
-            return known
-        known = settled(known.unionByName(front))
+            return rounds.all()
     raise RuntimeError("the graph is deeper than MAX_ROUNDS")
 
 
@@ -35,28 +34,37 @@ def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
     return depths(edges, start).select("id")
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """src, dst: every pair joined by a path of one edge or more."""
-    step = settled(edges.select("src", "dst").distinct())
-    known = front = step
+def closure(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """src, dst: pairs joined by a path of one edge or more, from every node or only from ``start`` (id).
+
+    The result has a row per pair; ask for it where that is what is wanted, and from few nodes.
+    """
+    step, rounds = settled(edges.select("src", "dst").distinct()), Rounds(edges.sparkSession)
+    front = rounds.add(step if start is None else step.join(start.select(F.col("id").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
     for _ in range(MAX_ROUNDS):
         longer = front.select("src", F.col("dst").alias("mid")).join(step.select(F.col("src").alias("mid"), "dst"), "mid")
-        front = settled(longer.select("src", "dst").distinct().join(known, ["src", "dst"], "left_anti"))
+        front = rounds.add(longer.select("src", "dst").distinct().join(rounds.all(), ["src", "dst"], "left_anti"))
         if front.isEmpty():
-            return known
-        known = settled(known.unionByName(front))
+            return rounds.all()
     raise RuntimeError("the graph is deeper than MAX_ROUNDS")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id, component: the smallest id joined with it by edges of either direction; for ends of edges."""
+    """id, component: the smallest id joined with it by edges of either direction; for ends of edges.
+
+    A round takes the smallest label of the neighbours, hands it to the label's own node, and
+    follows the label of the label, so long paths shorten by halves. Minima combine before the
+    shuffle: the hub of a star is one row per task.
+    """
     both = edges.select(F.col("src").alias("id"), F.col("dst").alias("other"))
     both = settled(both.unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("other"))).distinct())
     label = settled(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("component")))
     for _ in range(MAX_ROUNDS):
         near = both.join(label.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("component").alias("near"))
-        low = label.join(near, "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("was"))
-        # The label's own label: paths halve each round.
+        low = settled(label.join(near, "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("was")))
+        # The node that gave its name hears of smaller ones that its namesakes have met.
+        heard = low.groupBy(F.col("was").alias("id")).agg(F.min("component").alias("heard"))
+        low = settled(low.join(heard, "id", "left").select("id", F.least("component", F.coalesce("heard", "component")).alias("component"), "was"))
         far = low.select(F.col("id").alias("component"), F.col("component").alias("far"))
         new = settled(low.join(far, "component", "left").select("id", F.coalesce("far", "component").alias("component"), "was"))
         if new.where("component <> was").isEmpty():
@@ -65,33 +73,70 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
+def trimmed(edges: DataFrame) -> DataFrame:
+    """The edges between nodes that have a way in and a way out, peeled until nothing more goes."""
+    core = settled(edges)
+    left = core.count()
+    for _ in range(MAX_ROUNDS):
+        inner = core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        core = settled(inner.join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select(*edges.columns))
+        before, left = left, core.count()
+        if left == before:
+            return core
+    raise RuntimeError("the graph is deeper than MAX_ROUNDS")
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """id, component, size: nodes that reach each other, named by the smallest, two or more of them.
 
-    Edges that cannot lie on a cycle, because one end has no way in or none out, are peeled off
-    first; in graphs that are nearly acyclic little is left for the closure.
+    Edges that cannot lie on a cycle are peeled off. Then every node learns the smallest node that
+    reaches it (its colour) by passing minima along the edges; of one colour, what also reaches the
+    node that gave the colour is its strong component. Those leave with their edges, edges between
+    colours leave too, and the rest goes round again. A round takes out at least one component per
+    colour, and every table has a row per node or edge, never per pair.
     """
-    core = settled(edges.where("src <> dst").select("src", "dst").distinct())
+    spark = edges.sparkSession
+    core = trimmed(edges.where("src <> dst").select("src", "dst").distinct())
+    found = Rounds(spark)
+    found.add(spark.createDataFrame([], core.select(F.col("src").alias("id"), F.col("dst").alias("component")).schema))
     for _ in range(MAX_ROUNDS):
-        inner = core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        inner = settled(inner.join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        if inner.count() == core.count():
-            break
-        core = inner
-    pairs = closure(core)
-    mutual = pairs.join(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi").where("src <> dst")
-    named = mutual.groupBy(F.col("src").alias("id")).agg(F.least(F.col("id"), F.min("dst")).alias("component"), (F.count("*") + 1).alias("size"))
-    return named
+        if core.isEmpty():
+            named = found.all()
+            return named.join(named.groupBy("component").agg(F.count("*").alias("size")), "component").select("id", "component", "size")
+        colour = _colours(core)
+        inner = core.join(colour.select(F.col("id").alias("src"), F.col("colour").alias("x")), "src").join(colour.select(F.col("id").alias("dst"), F.col("colour").alias("y")), "dst")
+        inner = settled(inner.where("x = y").select("src", "dst"))
+        # Backwards from the namesakes along edges of one colour: each node has one colour, so one search serves all.
+        back = inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        home = settled(reach(back, colour.where("id = colour").select("id")).join(colour, "id").select("id", F.col("colour").alias("component")))
+        two = home.groupBy("component").count().where("count > 1").select("component")
+        found.add(home.join(two, "component", "left_semi").select("id", "component"))
+        rest = inner.join(home.select(F.col("id").alias("src")), "src", "left_anti").join(home.select(F.col("id").alias("dst")), "dst", "left_anti")
+        core = trimmed(rest.select("src", "dst"))
+    raise RuntimeError("the strong components did not settle")
+
+
+def _colours(edges: DataFrame) -> DataFrame:
+    """id, colour: the smallest node that reaches it, itself included."""
+    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    colour = settled(nodes.withColumn("colour", F.col("id")))
+    front = colour
+    for _ in range(MAX_ROUNDS):
+        near = front.join(edges.withColumnRenamed("src", "id"), "id").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("near"))
+        step = settled(colour.join(near, "id", "left").select("id", F.least("colour", "near").alias("colour"), F.col("colour").alias("was")))
+        front, colour = step.where("colour < was").select("id", "colour"), step.select("id", "colour")
+        if front.isEmpty():
+            return colour
+    raise RuntimeError("the graph is deeper than MAX_ROUNDS")
 
 
 def levels(edges: DataFrame) -> DataFrame:
     """id, level of an acyclic graph: the longest path that leads from a node; sinks are 0."""
-    step = settled(edges.select("src", "dst").distinct())
-    known = front = settled(step.select(F.col("src").alias("id")).union(step.select("dst")).distinct().withColumn("level", F.lit(0)))
+    step, rounds = settled(edges.select("src", "dst").distinct()), Rounds(edges.sparkSession)
+    front = rounds.add(step.select(F.col("src").alias("id")).union(step.select("dst")).distinct().withColumn("level", F.lit(0)))
     for level in range(1, MAX_ROUNDS):
         up = step.join(front.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id")).distinct()
-        front = settled(up.withColumn("level", F.lit(level)))
+        front = rounds.add(up.withColumn("level", F.lit(level)))
         if front.isEmpty():
-            return known.groupBy("id").agg(F.max("level").alias("level"))
-        known = settled(known.unionByName(front))
+            return rounds.all().groupBy("id").agg(F.max("level").alias("level"))
     raise RuntimeError("the graph has a cycle or is deeper than MAX_ROUNDS")

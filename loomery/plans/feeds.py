@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomery.plans.registry import query
-from loomery.session import checkpoint_dir
+from loomery.session import scratch_path
 from loomery.sources.tables import table
 from loomery.streaming import current, follow, latest
 
@@ -31,7 +31,7 @@ def stream_index_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, by a stream that takes the feed file by file."""
     import uuid
 
-    home = f"{checkpoint_dir(spark).rstrip('/')}/feed-{uuid.uuid4().hex}"
+    home = scratch_path(spark, "feed")
     operations(spark, sf_dir).repartitionByRange(4, "at").write.parquet(f"{home}/in")
     follow(spark, f"{home}/in", SCHEMA, f"{home}/state", f"{home}/log")
     return current(spark, f"{home}/state")

@@ -1,8 +1,5 @@
 """Cases that the tables of the other tests are too small to show."""
 
-from pyspark.sql import functions as F
-
-from loomery.llm import toxicity
 from loomery.operators import graph
 from loomery.plans.clones import covered, runs
 from loomery.plans.structure import redundancy_rollup
@@ -18,27 +15,6 @@ def test_large_clone_blocks_count(spark, tmp_path):
     assert got == {"b0/t/a": 2, "b1/t/a": 1, "b2/t/a": 1}
 
 
-def test_length_alone_is_not_toxic(spark):
-    """Clean held-out texts, repeated to millions of characters, stay clean; one toxic text among them shows."""
-    d = "/root/testdata/sf0.1"
-    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    model = toxicity.train(docs, labels)
-    held = docs.join(labels.where(toxicity.held_out(F.col("doc_id"))), "doc_id").select("doc_id", "text", "toxic")
-    seen = toxicity.score(held, model, ["text", "toxic"]).collect()
-    clean = [r.c0 for r in seen if r.c1 == 0 and r["__score"] < 0.5]
-    bad = sorted((r.c0 for r in seen if r.c1 == 1 and r["__score"] >= 0.5), key=len)
-    assert len(clean) > 500 and len(bad) > 50
-    long = " ".join(clean * 5)
-    rows = [("clean", long), ("one", " ".join(clean[:1] * 3000)), *[("toxic", f"{long[:len(long) // 2]} {b} {long}") for b in bad[:3]]]
-    got = toxicity.score(spark.createDataFrame(rows, "kind string, text string"), model, ["kind"]).collect()
-    assert {(r.c0, r["__score"] >= 0.5) for r in got} == {("clean", False), ("one", False), ("toxic", True)}
-
-
-def test_long_labelled_texts_are_learnt_from():
-    size = toxicity.SAMPLE_BYTES
-    assert toxicity.within([(1, 0, 20 * size), (2, 1, 5 * size), (3, 0, 9), (4, 1, 1000 * size)]) == [2, 1, 3]
-
-
 def _grams(spark, streams):
     return spark.createDataFrame([(i, k, " ".join(w[k : k + 5])) for i, w in streams.items() for k in range(len(w) - 4)], "id long, k int, h string")
 
