@@ -3,57 +3,29 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from loomery.session import release, scratch_path, shared_dir
+from loomery.session import settled as store
+
+__all__ = ["map_arrow", "maybe_broadcast", "n_words", "release", "scratch_path", "shared_dir", "store", "whole_text", "worker_path"]
 
 #: ASCII white space, as every contract of this package spells it.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A table is broadcast only if a count shows that it has at most so many rows of a few numbers.
-BROADCAST_ROWS = 500_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset (tests, a laptop) a folder of this machine is used instead.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), f"loomery-{os.getuid()}")
-        os.makedirs(base, exist_ok=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, what: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/loomery/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
-
-
-def store(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts the lineage with files that outlive any executor, and makes values that depend on
-    the order of rows (row numbers of a partition) fixed for every later reader.
-    """
-    path = scratch_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete everything that this application has stored in the shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/loomery/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+#: A table is broadcast only if it is measured to hold at most so many bytes: its texts, and so
+#: many for any other value or row.
+BROADCAST_BYTES, VALUE_BYTES, ROW_BYTES = 8 << 20, 8, 16
+#: Bytes of one Arrow batch on its way to a Python worker: rows hold whole texts, so a number of
+#: rows bounds nothing. A longer row forms a batch of its own.
+BATCH_BYTES = 4 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def worker_path(spark: SparkSession) -> None:
@@ -68,15 +40,29 @@ def worker_path(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
-    """``df.mapInArrow`` by workers that know this package."""
-    worker_path(df.sparkSession)
+    """``df.mapInArrow`` by workers that know this package, in batches of a few megabytes.
+
+    A session that bounds its batches tighter keeps its own bound.
+    """
+    spark = df.sparkSession
+    worker_path(spark)
+    held = spark.conf.get(BATCH_CONF).lower().rstrip("b")
+    if not held.isdigit() or not 0 < int(held) <= BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
     return df.mapInArrow(f, schema)
 
 
-def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Hint a broadcast if ``df`` has at most BROADCAST_ROWS rows; else leave the join to Spark."""
-    n = df.limit(BROADCAST_ROWS + 1).count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def maybe_broadcast(df: DataFrame) -> DataFrame:
+    """Hint a broadcast if ``df`` is measured to be small; else leave the join to Spark.
+
+    The measure is an aggregation of its own, so ``df`` should be a stored table.
+    """
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    if any(isinstance(f.dataType, (T.ArrayType, T.MapType)) for f in df.schema.fields):
+        return df
+    width = ROW_BYTES + VALUE_BYTES * len(df.columns)
+    size = F.count("*") * width + sum((F.coalesce(F.sum(F.octet_length(f"`{c}`")), F.lit(0)) for c in texts), F.lit(0))
+    return F.broadcast(df) if df.agg(size.alias("size")).head()["size"] <= BROADCAST_BYTES else df
 
 
 def whole_text(text: Column) -> Column:

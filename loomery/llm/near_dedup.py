@@ -3,27 +3,31 @@
 A document is the set of its word shingles. Documents with equal sets form a class at once. Each
 class has a signature of COORDINATES minima; a pair of similarity ``t`` agrees on each of them
 with probability ``t``, so it agrees on at least ``m`` of them but for a chance of MISS, which
-fixes ``m``. Classes are posted under their coordinate-value pairs. With all pairs in one global
-order, rarest first, two classes that agree on ``m`` coordinates share one among the first
-``n - m + 1`` of those ``n`` that occur more than once anywhere; only these prefixes are posted,
-and a class with fewer than ``m`` such coordinates is skipped altogether. Passages that many
-documents share thus cost little: their pairs come last in the order.
+fixes ``m``, the match threshold. Classes are posted under their coordinate-value pairs.
 
-Classes that met in a list are read again, and their full shingle sets tell how many shingles
-each shares with any other of them. No partner can have more in common with it, which bounds the
-similarity of a pair from two numbers each: the edits of a near copy are mostly its own. Pairs
-that the bound rules out are never formed.
+Prefix: with all coordinate-value pairs in one global order, rarest first, two classes that agree
+on ``m`` coordinates meet in a list among the first ``n - m + 1`` of those ``n`` that occur more
+than once anywhere; only these prefixes are posted, and a class with fewer than ``m`` is left out.
+Passages that many documents share thus cost little: their lists come last in the order.
+
+Count and skip: collisions are counted per pair over the prefix lists. A pair with ``m`` of them
+is retained. Where a list stands in both orders bounds what the lists before and behind it can
+add; a pair that cannot come to ``m`` is skipped. For the others the lists behind the prefixes
+are merged in, and the pair is retained if all collisions come to ``m``.
 
 Of a posting list every member is tried against one centre only, the member that shares the
 largest part of its set (of a text and its edited copies that is the text), which makes as many
-pairs as members. Pairs inside one component need no test, since only components are asked for.
-Of two members of different components one at least is not linked with the centre, and then the
-two can be linked only if their differences from the centre overlap: with d and d' elements in
-which they differ from it, ``(d + d' - r * (n + n')) / 2`` elements at least have to be the same,
-r being (1 - t) / (1 + t), and that is never 0. So members of one centre are posted once more,
-under their differences, rarest first and again only as far as a partner must show up. Edits that
-copies made by themselves are shared with no one and cost nothing. A pair is retained if the
-signatures agree on ``m`` coordinates, and linked if the full sets are as similar as asked.
+pairs as members. How many of its shingles a class shares with any other bounds its similarity to
+all of them; pairs that this rules out are never formed. Pairs inside one component need no test,
+since only components are asked for. Of two members of different components one at least is not
+linked with the centre, and then the two can be linked only if their differences from the centre
+overlap: with d and d' elements in which they differ from it, ``(d + d' - r * (n + n')) / 2``
+elements at least have to be the same, r being (1 - t) / (1 + t), and that is never 0. So members
+of one centre are posted once more, under their differences, rarest first and again only as far
+as a partner must show up. Edits that copies made by themselves are shared with no one and cost
+nothing. Long lists of one edit are first tried against one member, whose component most of them
+join; only members that are then still in different components are paired. Retained pairs are
+linked if the full sets are as similar as asked, which built-in array functions tell.
 """
 
 from __future__ import annotations
@@ -39,13 +43,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomery.llm.common import map_arrow, maybe_broadcast, store, whole_text
-from loomery.llm.components import components
 from loomery.llm.words import Memo, blocks, coded
+from loomery.operators import graph
 
 COORDINATES = 64
 #: Chance that a pair of exactly the asked similarity agrees on fewer than ``m`` coordinates.
 MISS = 1e-6
 SEED = 20260201
+#: Members of a list of one edit from which on one of them is tried first.
+LONG_LIST = 16
 
 
 def least_matches(percent: int, coordinates: int = COORDINATES, miss: float = MISS) -> int:
@@ -135,8 +141,8 @@ def _sketch(width: int, coordinates: int) -> Callable:
                     k2.append(two)
                     sig.append(sign(s) if len(s) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), some.column("row"), pa.array(n, pa.int64()), pa.array(k1), pa.array(k2), pa.array(sig, pa.list_(pa.int32()))],
-                    ["doc_id", "row", "n", "k1", "k2", "sig"],
+                    [some.column("doc_id"), some.column("row"), some.column("h"), pa.array(n, pa.int64()), pa.array(k1), pa.array(k2), pa.array(sig, pa.list_(pa.int32()))],
+                    ["doc_id", "row", "h", "n", "k1", "k2", "sig"],
                 )
 
     return run
@@ -155,106 +161,117 @@ def _sets(width: int) -> Callable:
     return run
 
 
-def _confirm(percent: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-                short, long = sorted((x.values.to_numpy(), y.values.to_numpy()), key=len)
-                both = int((long[np.minimum(np.searchsorted(long, short), len(long) - 1)] == short).sum())
-                ok.append(100 * both >= percent * (len(short) + len(long) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return run
-
-
 def near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", coordinates: int = COORDINATES
 ) -> DataFrame:
     """Every row: id, n_shingles, component_id (smallest id it is linked with, in steps) and kept.
 
     Texts are linked when their sets of ``width``-word shingles have intersection over union of
-    ``percent`` / 100 or more. One row of a component is kept. Null texts count as empty; a row
-    without words is linked with nothing and kept. Rows with a null id are linked with nothing,
-    have a null component and are kept. Rows that repeat with their id are one document: one of
-    them is kept. An empty table gives no rows. Other columns are ignored.
+    ``percent`` / 100 or more. One row of a component is kept, one that has its smallest id. Null
+    texts count as empty; a row without words is linked with nothing and kept. Rows with a null id
+    are linked with nothing, have a null component and are kept. Ids may repeat, with equal texts
+    or others: rows are linked by their texts. An empty table gives no rows. Other columns are
+    ignored.
     """
+    return _marked(docs, width, percent, id_col, text_col, coordinates).select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def _marked(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, coordinates: int = COORDINATES) -> DataFrame:
+    """doc_id, h (hash of the text), n_shingles, component_id and kept of every row."""
     m = least_matches(percent, coordinates)
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), whole_text(F.col(text_col)).alias("text"))
-    sketch = "doc_id long, row long, n long, k1 long, k2 long, sig array<int>"
+    text = whole_text(F.col(text_col))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.xxhash64(text).alias("h"), text.alias("text"))
+    sketch = "doc_id long, row long, h long, n long, k1 long, k2 long, sig array<int>"
     rows = store(map_arrow(plain, _sketch(width, coordinates), sketch), "near-sketch")
 
     # Classes of equal sets, each named by its first row.
     linkable = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     classes = rows.where(linkable).groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "row")).alias("first"))
     classes = store(classes.select("k1", "k2", "n", F.col("first.doc_id").alias("doc"), F.col("first.row").alias("node")), "near-classes")
-    nodes = store(rows.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "sig"), "near-nodes")
-
-    posted = store(_postings(nodes, m, coordinates), "near-postings")
-    shared = posted.groupBy("token").count().where("count > 1").select("token")
-    posted = store(posted.join(shared, "token", "left_semi"), "near-shared")
-    sets, facts = _met(posted, classes, plain, width, percent)
-    posted = store(posted.join(facts, "node"), "near-alive")
-
-    # The bound: 100 * i >= percent * (n + n' - i) must hold for an intersection i as large as can be.
-    may = F.expr(f"least(free, free_b) * {100 + percent} >= {percent} * (n + n_b)")
-    rank = F.struct((-F.col("free") / F.col("n")).alias("own"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("free").alias("free_b"))
-    lists = store(posted.groupBy("token").agg(F.min(rank).alias("c")).select("token", "c.b", "c.n_b", "c.free_b"), "near-lists")
-    stars = posted.join(lists, "token").where((F.col("node") != F.col("b")) & may).select(F.col("node").alias("a"), "b").distinct()
-    stars = store(stars, "near-stars")
-    linked = _linked(stars, nodes, sets, m, percent)
-    labels = components(linked)
-
-    # Centres whose members are still in more than one component.
-    named = posted.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    around = named.join(lists, "token").select(F.col("node").alias("a"), "b", "n", "free", "label", "n_b").distinct()
-    around = store(around, "near-around")
-    open_ = around.groupBy("b").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("b")
-    rest = around.join(open_, "b", "left_semi").where("a <> b")
-    across = _sharing_edits(rest, sets, percent, may)
-    more = _linked(store(across, "near-across"), nodes, sets, m, percent)
-    if more.limit(1).count():
-        labels = components(more, labels)
+    signed = rows.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "sig")
+    orders = store(_orders(signed, m), "near-orders")
+    labels = _labels(orders, classes, plain, m, width, percent)
 
-    # The smallest id of each component, handed to its classes and from there to the rows.
+    # The smallest id of each component and the first of its rows, handed to its classes and from there to the rows.
     of = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = of.groupBy("label").agg(F.min("doc").alias("component_id"))
-    of = of.join(least, "label").select("k1", "k2", "n", "node", "component_id")
-    out = rows.where(linkable).select("doc_id", "row", "n", "k1", "k2").join(of, ["k1", "k2", "n"])
-    kept = (F.col("doc_id") == F.col("component_id")) & (F.col("row") == F.col("node"))
-    out = out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
-    lone = rows.where(~linkable).select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
-    return out.unionByName(lone)
+    least = of.groupBy("label").agg(F.min(F.struct("doc", "node")).alias("first")).select("label", F.col("first.doc").alias("component_id"), F.col("first.node").alias("keeper"))
+    of = store(of.join(least, "label").select("k1", "k2", "n", "component_id", "keeper"), "near-named")
+    out = rows.where(linkable).select("doc_id", "row", "h", "n", "k1", "k2").join(of, ["k1", "k2", "n"])
+    out = out.select("doc_id", "h", F.col("n").alias("n_shingles"), "component_id", (F.col("row") == F.col("keeper")).alias("kept"))
+    return out.unionByName(rows.where(~linkable).select("doc_id", "h", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
-def _postings(nodes: DataFrame, m: int, coordinates: int) -> DataFrame:
-    """token, node: the prefix of each class that could agree with another on m coordinates."""
+def _orders(signed: DataFrame, m: int) -> DataFrame:
+    """node, tokens: the coordinate-value pairs that some other class has too, rarest first; at least ``m``."""
     value = F.expr("(cast(pos as bigint) << 32) | (cast(v as bigint) & 4294967295)")
-    tokens = nodes.select("node", F.posexplode("sig").alias("pos", "v")).select("node", value.alias("token"))
+    tokens = signed.select("node", F.posexplode("sig").alias("pos", "v")).select("node", value.alias("token"))
     # Stored, here and below, so that both sides of the join come from a shuffle that adaptive
     # execution may split: a large group of near copies makes frequent tokens.
     common = store(tokens.groupBy("token").count().where("count > 1"), "near-common")
     met = tokens.join(common, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("all"))
-    prefix = F.slice("all", F.lit(1), F.size("all") - F.lit(m) + F.lit(1))
-    return met.where(F.size("all") >= m).select("node", F.explode(prefix).alias("t")).select(F.col("t.token").alias("token"), "node")
+    return met.where(F.size("all") >= m).select("node", F.transform("all", lambda x: x["token"]).alias("tokens"))
 
 
-def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each pair the elements that one set has and the other has not; the sides are told apart."""
-    other = np.int64(SEED << 20 | 1)
-    for batch in batches:
-        found = []
-        for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-            x, y = x.values.to_numpy(), y.values.to_numpy()
-            found.append(np.concatenate([np.setdiff1d(x, y, True), np.setdiff1d(y, x, True) ^ other]))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.list_(pa.int64()))], ["a", "b", "edits"])
+def _labels(orders: DataFrame, classes: DataFrame, plain: DataFrame, m: int, width: int, percent: int) -> DataFrame:
+    """node, label: the smallest node of its component, for every node that is linked with one."""
+    # Prefixes: a class in the lists of its first pairs, with its place (from 0) in its own order.
+    prefix = F.slice("tokens", F.lit(1), F.size("tokens") - F.lit(m - 1))
+    posted = store(orders.select("node", F.size("tokens").alias("len"), F.posexplode(prefix).alias("pos", "token")), "near-postings")
+    shared = posted.groupBy("token").count().where("count > 1").select("token")
+    posted = store(posted.join(shared, "token", "left_semi"), "near-shared")
+    sets, facts = _met(posted, classes, plain, width, percent)
+    posted = store(posted.join(facts, "node"), "near-alive")
 
+    # The bound: 100 * i >= percent * (n + n' - i) must hold for an intersection i as large as can be.
+    may = F.expr(f"least(free, free_b) * {100 + percent} >= {percent} * (n + n_b)")
+    rank = F.struct((-F.col("free") / F.col("n")).alias("own"), F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("n", "free", "pos", "len")])
+    lists = store(posted.groupBy("token").agg(F.min(rank).alias("c")).select("token", "c.b", "c.n_b", "c.free_b", "c.pos_b", "c.len_b"), "near-lists")
+    met = posted.join(lists, "token").where((F.col("node") != F.col("b")) & may)
+    # Before, in and behind a list that both are in, at most so many pairs can be common to them.
+    room = F.least("pos", "pos_b") + F.least(F.col("len") - F.col("pos"), F.col("len_b") - F.col("pos_b"))
+    stars = met.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("met"), F.min(room).alias("room"))
+    stars = store(stars.where((F.col("met") >= m) | (F.col("room") >= m)).select("a", "b", "met"), "near-stars")
+    linked = _linked(stars, orders, sets, m, percent)
+    labels = _joined([linked])
 
-def _sharing_edits(around: DataFrame, sets: DataFrame, percent: int, may: F.Column) -> DataFrame:
-    """a, b: members of one centre, of different components, whose differences from it may overlap enough."""
+    # Centres whose members are still in more than one component.
+    named = posted.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    around = named.join(lists.select("token", "b", "n_b"), "token").select(F.col("node").alias("a"), "b", "n", "free", "label", "n_b").distinct()
+    around = store(around, "near-around")
+    open_ = around.groupBy("b").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("b")
+    rest = store(around.join(open_, "b", "left_semi").where("a <> b"), "near-open")
+    if rest.isEmpty():
+        return labels
+    posted = _edit_postings(rest, sets, percent)
+    first = _linked(store(_edit_stars(posted, may, percent), "near-edit-stars"), orders, sets, m, percent)
+    if not first.isEmpty():
+        labels = _joined([linked, first])
+        posted = posted.drop("label").join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
+        posted = store(posted, "near-edit-postings")
+    across = store(_edit_pairs(posted, may, percent), "near-across")
+    more = _linked(across, orders, sets, m, percent)
+    return labels if more.isEmpty() else _joined([linked, first, more])
+
+
+def _joined(links: list[DataFrame]) -> DataFrame:
+    """node, label of the components of all links (a, b)."""
+    edges = links[0]
+    for more in links[1:]:
+        edges = edges.unionByName(more)
+    return graph.components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("node"), F.col("component").alias("label"))
+
+
+def _edit_postings(around: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members ``a`` of a centre in the lists of the elements ``e`` in which they differ from it.
+
+    With each: the member's n, free and label, its number of differences d, and how many of its
+    differences that others have too are ``left`` from this one on.
+    """
     x, y = (sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
-    edits = map_arrow(around.select("a", "b").join(x, "a").join(y, "b"), _differences, "a long, b long, edits array<bigint>")
-    edits = store(edits.join(around, ["a", "b"]), "near-edits")
+    # The sides are told apart: what the centre lacks, and what it has besides.
+    lacks = F.transform(F.array_except("set_b", "set_a"), lambda v: v.bitwiseXOR(F.lit(SEED << 20 | 1)))
+    edits = around.join(x, "a").join(y, "b").select("a", "b", "n", "free", "label", "n_b", F.concat(F.array_except("set_a", "set_b"), lacks).alias("edits"))
+    edits = store(edits, "near-edits")
     each = edits.select("a", "b", F.explode("edits").alias("e"))
     common = store(each.groupBy("b", "e").count().where("count > 1"), "near-common-edits")
     d, r = F.size("edits"), (100 - percent) / (100 + percent)
@@ -263,16 +280,34 @@ def _sharing_edits(around: DataFrame, sets: DataFrame, percent: int, may: F.Colu
     least = F.when(near, d * ((1 - r) / 2)).otherwise((d - (F.col("n") + F.col("n_b")) * r) / 2)
     least = F.greatest(F.ceil(least - 1e-6), F.lit(1)).cast("int")
     met = each.join(common, ["b", "e"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("count", "e"))).alias("met"))
-    met = met.join(edits.withColumn("least", least), ["a", "b"]).where(F.size("met") >= F.col("least"))
+    met = met.join(edits.select("a", "b", "n", "free", "label", d.alias("d"), least.alias("least")), ["a", "b"]).where(F.size("met") >= F.col("least"))
     prefix = F.slice("met", F.lit(1), F.size("met") - F.col("least") + F.lit(1))
-    place = met.select("a", F.col("b").alias("centre"), "n", "free", "label", d.alias("d"), F.size("met").alias("len"), F.posexplode(prefix).alias("pos", "p"))
-    posted = store(place.withColumn("e", F.col("p.e")).withColumn("left", F.col("len") - F.col("pos")).drop("p", "pos", "len"), "near-edit-postings")
-    same = [F.col(c).alias(f"{c}_b") for c in ("label", "n", "free", "d", "left")]
-    other = posted.select("centre", "e", F.col("a").alias("b"), *same)
-    # Where two lists first agree, what is left of either must still be as long as the overlap has to be.
-    enough = F.expr(f"2 * {100 + percent} * least(left, left_b) >= {100 + percent} * (d + d_b) - {100 - percent} * (n + n_b)")
-    pairs = posted.join(other, ["centre", "e"]).where((F.col("a") > F.col("b")) & (F.col("label") != F.col("label_b")) & may & enough)
-    return pairs.select("a", "b").distinct()
+    place = met.select("a", F.col("b").alias("centre"), "n", "free", "label", "d", F.size("met").alias("len"), F.posexplode(prefix).alias("pos", "p"))
+    return store(place.select("a", "centre", "n", "free", "label", "d", F.col("p.e").alias("e"), (F.col("len") - F.col("pos")).alias("left")), "near-edit-postings")
+
+
+def _may_share(percent: int) -> F.Column:
+    """Where two lists first agree, what is left of either must still be as long as the overlap has to be."""
+    return F.expr(f"2 * {100 + percent} * least(left, left_b) >= {100 + percent} * (d + d_b) - {100 - percent} * (n + n_b)")
+
+
+_BESIDE = ("label", "n", "free", "d", "left")
+
+
+def _edit_stars(posted: DataFrame, may: F.Column, percent: int) -> DataFrame:
+    """a, b: the members of a long list of one edit with the one that differs least from the centre."""
+    first = F.min(F.struct("d", "a", *[c for c in _BESIDE if c != "d"])).alias("f")
+    hubs = posted.groupBy("centre", "e").agg(F.count("*").alias("members"), first).where(F.col("members") >= LONG_LIST)
+    hubs = store(hubs.select("centre", "e", F.col("f.a").alias("b"), *[F.col(f"f.{c}").alias(f"{c}_b") for c in _BESIDE]), "near-edit-hubs")
+    pairs = posted.join(hubs, ["centre", "e"]).where((F.col("a") != F.col("b")) & (F.col("label") != F.col("label_b")) & may & _may_share(percent))
+    return pairs.select("a", "b").distinct().withColumn("met", F.lit(0).cast("long"))
+
+
+def _edit_pairs(posted: DataFrame, may: F.Column, percent: int) -> DataFrame:
+    """a, b: members of one centre and different components, whose differences from it may overlap enough."""
+    other = posted.select("centre", "e", F.col("a").alias("b"), *[F.col(c).alias(f"{c}_b") for c in _BESIDE])
+    pairs = posted.join(other, ["centre", "e"]).where((F.col("a") > F.col("b")) & (F.col("label") != F.col("label_b")) & may & _may_share(percent))
+    return pairs.select("a", "b").distinct().withColumn("met", F.lit(0).cast("long"))
 
 
 def _met(posted: DataFrame, classes: DataFrame, plain: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -283,7 +318,7 @@ def _met(posted: DataFrame, classes: DataFrame, plain: DataFrame, width: int, pe
     used = store(posted.select("node").distinct().join(classes, "node").select("node", "doc", "k1", "k2", "n"), "near-used")
     ids = maybe_broadcast(used.select(F.col("doc").alias("doc_id")))
     read = map_arrow(plain.join(ids, "doc_id", "left_semi").select("text"), _sets(width), "k1 long, k2 long, set array<bigint>")
-    read = read.join(used.select("node", "k1", "k2"), ["k1", "k2"]).select("node", "set")
+    read = read.join(maybe_broadcast(used.select("node", "k1", "k2")), ["k1", "k2"]).select("node", "set")
     # A document that repeats with its id is read as often.
     sets = store(read.groupBy("node").agg(F.first("set").alias("set")), "near-sets")
     alone = sets.select("node", F.explode("set").alias("shingle")).groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("of"))
@@ -292,25 +327,29 @@ def _met(posted: DataFrame, classes: DataFrame, plain: DataFrame, width: int, pe
     return sets, store(facts.where(f"100 * free >= {percent} * n"), "near-facts")
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, m: int, percent: int) -> DataFrame:
-    """The pairs that are linked: agreement of signatures first, then of the sets."""
-    a, b = (nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    same = F.expr("size(filter(zip_with(sig_a, sig_b, (x, y) -> x = y), x -> x))")
-    near = store(pairs.join(a, "a").join(b, "b").where(same >= m).select("a", "b"), "near-pairs")
+def _linked(pairs: DataFrame, orders: DataFrame, sets: DataFrame, m: int, percent: int) -> DataFrame:
+    """a, b of the pairs (with their collisions ``met`` so far) that are linked.
+
+    Collisions over all lists first, unless the prefixes have enough; then the full sets.
+    """
+    a, b = (orders.select(F.col("node").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
+    enough = (F.col("met") >= m) | (F.size(F.array_intersect("tokens_a", "tokens_b")) >= m)
+    near = store(pairs.join(a, "a").join(b, "b").where(enough).select("a", "b"), "near-pairs")
     a, b = (sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-    both = near.join(a, "a").join(b, "b")
-    return store(map_arrow(both, _confirm(percent), "a long, b long"), "near-links")
+    both = near.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("i"), (F.size("set_a") + F.size("set_b")).alias("n"))
+    return store(both.where(f"100L * i >= {percent}L * (n - i)").select("a", "b"), "near-links")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component; same columns.
 
-    Rows with a null id stay. Rows that repeat with their id stay or go together.
+    Rows with a null id and rows without words stay. Rows that repeat with id and text stay or go
+    together. An empty table stays empty.
     """
     names = docs.columns
-    marks = near_duplicates(docs, width, percent, id_col, text_col)
-    # Of an id that repeats one row is kept and the others are not: an id goes only if none is.
-    gone = marks.groupBy(F.col(id_col).alias("gone_id")).agg(F.max("kept").alias("stays")).where("not stays and gone_id is not null")
+    marks = _marked(docs, width, percent, id_col, text_col)
+    gone = marks.groupBy(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).agg(F.max("kept").alias("stays"))
+    gone = store(gone.where("not stays and gone_id is not null").select("gone_id", "gone_h"), "near-gone")
     inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
-    left = inner.join(maybe_broadcast(store(gone.select("gone_id"), "near-gone")), F.col(f"c{names.index(id_col)}") == F.col("gone_id"), "left_anti")
-    return left.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    own = (F.col(f"c{names.index(id_col)}") == F.col("gone_id")) & (F.xxhash64(whole_text(F.col(f"c{names.index(text_col)}"))) == F.col("gone_h"))
+    return inner.join(maybe_broadcast(gone), own, "left_anti").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

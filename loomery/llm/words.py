@@ -13,9 +13,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: UTF-8 bytes of texts that are split at once; a longer text forms a block of its own.
-BLOCK_BYTES = 6 << 20
-#: Distinct words that a process remembers between blocks.
-MEMO_WORDS = 150_000
+BLOCK_BYTES = 4 << 20
+#: Bytes of words, with what is kept of each, that a process remembers between blocks; and the
+#: longest word it remembers, for a "word" without white space may be megabytes.
+MEMO_BYTES, MEMO_LONGEST, MEMO_ENTRY = 24 << 20, 64, 160
 
 
 def blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -39,10 +40,11 @@ def coded(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list]:
 
 
 class Memo:
-    """f(list of words), remembered for the first MEMO_WORDS words."""
+    """f(list of words), remembered for words met again; starts anew when MEMO_BYTES are full."""
 
     def __init__(self, f: Callable[[list], list], known: dict | None = None):
-        self.f, self.known = f, known or {}
+        self.f, self.known, self.held = f, known or {}, 0
+        self.fixed = dict(self.known)
 
     def __call__(self, words: list) -> list:
         known = self.known
@@ -52,8 +54,13 @@ class Memo:
             made = self.f([words[i] for i in new])
             for i, v in zip(new, made):
                 out[i] = v
-            for i in new[: max(0, MEMO_WORDS - len(known))]:
-                known[words[i]] = out[i]
+            if self.held > MEMO_BYTES:
+                self.known = known = dict(self.fixed)
+                self.held = 0
+            for i in new:
+                if len(words[i]) <= MEMO_LONGEST:
+                    known[words[i]] = out[i]
+                    self.held += MEMO_ENTRY + len(words[i])
         return out
 
 
