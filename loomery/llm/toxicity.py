@@ -1,15 +1,17 @@
-"""Toxicity scores from subword-bag embeddings and a linear softmax.
+"""Toxicity scores from subword-bag embeddings, averaged into a linear softmax.
 
 A word is the mean of vectors of its character n-grams and of itself, each found in a table of
 hashed buckets, so a misspelling or an inflection never seen shares most vectors with the word it
-comes from. Words are averaged over short passages, a linear softmax scores each passage, and a
-document's evidence is the largest score of a passage: one bad passage shows in a text of any
-length, and texts joined into one have the evidence of the worst of them, however many they are.
-Vectors and softmax are trained together, in numpy, by Adagrad.
+comes from. A document is an average of its words' vectors, and a linear softmax over that average
+tells toxic from clean. The average is weighted: a word counts by the exponential of its own part
+in the softmax, so that the few words that matter are not drowned by hundreds that say nothing. It
+is still an average: repeating a text changes nothing, and length alone is no evidence. Vectors
+and softmax are trained together, in numpy, by Adagrad, through the weights too.
 
 Fitting takes a bounded sample of labelled rows (SAMPLE of each label, of SAMPLE_BYTES a row taken
-together; one text may be much longer) to the driver. Since the softmax is linear, what scoring needs of the model is one number per
-bucket; that table of a fixed size goes to every task, and whole texts are scored there.
+together; one text may be much longer) to the driver. Since the softmax is linear, what scoring
+needs of the model is one number per bucket; that table of a fixed size goes to every task, and
+whole texts are scored there.
 """
 
 from __future__ import annotations
@@ -32,10 +34,10 @@ SAMPLE_BYTES = 16_384
 BUCKET_BITS, DIM = 17, 12
 GRAMS = (3, 4, 5)
 LEAST_TEXTS = 8
-#: Words per passage. In a passage of one word the bag is the word's n-grams; longer ones dilute a
-#: single insult by its neighbours, which cost a tenth of the recall on held-out rows.
-PASSAGE = 1
-EPOCHS, BATCH, RATE, START, SEED = 8, 32, 0.3, 1e-3, 7
+#: How much a word's own part in the softmax counts in its weight; 0 would be the plain average,
+#: which finds hardly any insult among hundreds of words.
+SHARPNESS = 1.0
+EPOCHS, BATCH, RATE, START, SEED = 10, 32, 0.3, 3e-4, 7
 EDGE = ".,;:!?\"'()[]{}«»“”‘’…"
 _FACTORS = (np.random.default_rng(SEED).integers(1 << 31, size=max(GRAMS) + 2, dtype=np.uint32) * np.uint32(2) + np.uint32(1)).tolist()
 
@@ -81,38 +83,36 @@ def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return new[codes[keep]], np.concatenate([[0], np.cumsum(keep)])[offsets], [w for w, r in zip(words, real) if r]
 
 
-def _passages(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first word of each passage, first passage of each text and their number)."""
+def _averages(parts: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weighted average of the words' parts per text, minus infinity without words; each word's share)."""
     n = np.diff(offsets)
-    count = -(-n // PASSAGE)
-    first = np.concatenate([[0], np.cumsum(count)])
-    at = np.arange(first[-1]) - np.repeat(first[:-1], count)
-    return np.repeat(offsets[:-1], count) + at * PASSAGE, first
-
-
-def _evidence(word_scores: np.ndarray, offsets: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Largest passage score per text (minus infinity without words), passage scores and bounds."""
-    starts, first = _passages(offsets)
-    out = np.full(len(first) - 1, -np.inf)
-    if not len(starts):
-        return out, np.zeros(0), starts, first
-    length = np.diff(np.append(starts, len(word_scores)))
-    s = np.add.reduceat(word_scores, starts) / length + bias
-    some = np.flatnonzero(np.diff(first))
-    out[some] = np.maximum.reduceat(s, first[some])
-    return out, s, starts, first
-
-
-def fit(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
-    """(score of each bucket, bias): the trained vectors times the difference of the softmax's rows."""
+    out, some = np.full(len(n), -np.inf), np.flatnonzero(n)
+    if not len(some):
+        return out, np.zeros(0)
+    owner = np.repeat(np.arange(len(some)), n[some])
+    top = np.maximum.reduceat(parts, offsets[:-1][some])
+    share = np.exp(SHARPNESS * (parts - top[owner]))
+    share /= np.bincount(owner, share)[owner]
+    out[some] = np.bincount(owner, share * parts)
+    return out, share
+
+
+Model = tuple[np.ndarray, float]
+
+
+def fit(texts: list[str], labels: list[int]) -> Model | None:
+    """(part of each bucket, bias): the trained vectors times the difference of the softmax's rows.
+
+    Without texts of either label there is nothing to tell apart, and no model.
+    """
+    if len(set(labels)) < 2:
+        return None
     rng = np.random.default_rng(SEED)
     size = 1 << BUCKET_BITS
     table = rng.normal(0, 1 / DIM, (size, DIM)).astype(np.float32)
     axis, bias = rng.normal(0, 1 / np.sqrt(DIM), DIM).astype(np.float32), -3.0
     # Sums of squared gradients; they start at what one word of a long text typically brings.
     seen_table, seen_axis, seen_bias = np.full(size, START), np.full(DIM, 1e-2), 1.0
-    if not texts:
-        return table @ axis, bias
     codes, offsets, words = _split(pa.array(texts))
     ids, begins = buckets(words) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     sizes, truth = np.diff(np.append(begins, len(ids))), np.array(labels, float)
@@ -136,20 +136,18 @@ def fit(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
             n = sizes[used]
             inner = np.cumsum(n) - n
             rows = ids[np.repeat(begins[used] - inner, n) + np.arange(n.sum())]
-            # The logit is linear in the vectors: mean over n-grams, then over words, times the axis.
-            of_word = np.add.reduceat((table @ axis)[rows], inner) / n
-            evidence, s, starts, first = _evidence(of_word[where], bounds, bias)
-            off = 1 / (1 + np.exp(-np.clip(evidence, -40, 40))) - truth[some]
-            per = np.diff(first)
-            off[per == 0], evidence[per == 0] = 0, 0
-            # A text's error is shared by its passages as their softmax; the largest alone learns slower.
-            share = np.exp(s - np.repeat(evidence, per))
+            # A word's part: the mean of its vectors along the difference of the softmax's rows.
+            part = (np.add.reduceat((table @ axis)[rows], inner) / n)[where]
+            mean, share = _averages(part, bounds)
+            per = np.diff(bounds)
+            mean[per == 0] = 0
+            off = 1 / (1 + np.exp(-np.clip(mean + bias, -40, 40))) - truth[some]
+            off[per == 0] = 0
+            # The average moves with each part by its share, and by what the share itself moves.
             owner = np.repeat(np.arange(len(per)), per)
-            flat = np.repeat(off, per) * share / np.bincount(owner, share, len(per))[owner]
-            length = np.diff(np.append(starts, len(where)))
-            by_word = np.bincount(where, np.repeat(flat / length, length), len(used))
+            by_word = np.bincount(where, off[owner] * share * (1 + SHARPNESS * (part - mean[owner])), len(used))
             by_bucket = np.bincount(rows, np.repeat(by_word / n, n), size)
-            step_axis, step_bias = by_bucket @ table, flat.sum()
+            step_axis, step_bias = by_bucket @ table, off.sum()
             by_bucket *= told
             seen_table += by_bucket**2 * float(axis @ axis)
             table -= (RATE * by_bucket / np.sqrt(seen_table)).astype(np.float32)[:, None] * axis
@@ -182,8 +180,8 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float]:
-    """The model, from at most SAMPLE rows of each label. Without labelled rows: no evidence anywhere."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
+    """The model, from at most SAMPLE rows of each label; none without labelled rows of both."""
     rows = sample(docs, labels, id_col, text_col, label_col)
     sizes = rows.select("__id", "__label", F.octet_length("__text").alias("n")).orderBy("__h", "__id").collect()
     chosen = within([(r["__id"], r["__label"], r["n"]) for r in sizes])
@@ -211,32 +209,39 @@ def within(sizes: list[tuple]) -> list:
     return out
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], carry: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``carry`` and ``score`` (0 to 1) of every row; a text without words scores 0."""
+def score(docs: DataFrame, model: Model | None, carry: list[str], text_col: str = "text") -> DataFrame:
+    """Columns ``carry`` (as c0, c1, ...) and ``__score`` (0 to 1) of every row.
+
+    A text without words scores 0, and without a model all do.
+    """
+    wanted = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)], F.col(f"`{text_col}`").alias("__text"))
+    schema = wanted.drop("__text").schema.add("__score", "double")
+    if model is None:
+        return wanted.drop("__text").withColumn("__score", F.lit(0.0))
     held = docs.sparkSession.sparkContext.broadcast(model)
-    wanted = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)], whole_text(F.col(text_col)).alias("__text"))
+    # A text that is carried along is sent once.
+    at = carry.index(text_col) if text_col in carry and dict(docs.dtypes)[text_col] == "string" else len(carry)
+    sent = wanted.drop("__text") if at < len(carry) else wanted.withColumn("__text", whole_text(F.col("__text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = held.value
 
-        def scores(words: list[str]) -> list[float]:
+        def parts(words: list[str]) -> list[float]:
             ids, begins = buckets(words)
             n = np.diff(np.append(begins, len(ids)))
             return (np.add.reduceat(weights[ids].astype(float), begins) / n).tolist()
 
-        memo = Memo(scores)
+        memo = Memo(parts)
         for b in batches:
-            for first, end in blocks(b.column("__text")):
+            for first, end in blocks(b.column(at)):
                 some = b.slice(first, end - first)
-                codes, offsets, words = _split(some.column("__text"))
-                evidence = _evidence(np.array(memo(words), float)[codes], offsets, bias)[0]
-                p = 1 / (1 + np.exp(-np.clip(evidence, -40, 40)))
-                p[~np.isfinite(evidence)] = 0.0
-                columns = [some.column(i) for i in range(len(carry))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(p)], [f"c{i}" for i in range(len(carry))] + ["__score"])
+                codes, offsets, words = _split(pc.fill_null(some.column(at), ""))
+                mean = _averages(np.array(memo(words), float)[codes], offsets)[0]
+                p = 1 / (1 + np.exp(-np.clip(mean + bias, -40, 40)))
+                p[~np.isfinite(mean)] = 0.0
+                yield pa.RecordBatch.from_arrays([*[some.column(i) for i in range(len(carry))], pa.array(p)], [f"c{i}" for i in range(len(carry))] + ["__score"])
 
-    schema = wanted.drop("__text").schema.add("__score", "double")
-    return map_arrow(wanted, run, schema)
+    return map_arrow(sent, run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -244,8 +249,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Null texts count as empty. Only the text enters a score. A null id is not held out. Rows are
     scored one by one: repeated rows agree, an empty table gives none. Labels other than 0 and 1
-    and labels of documents that are not there are ignored; with no labels left the scores are of
-    an untrained model. Other columns are ignored.
+    and labels of documents that are not there are ignored; unless rows of both labels are left to
+    learn from, all scores are 0. Other columns are ignored.
     """
     out = score(docs, train(docs, labels, id_col, text_col, label_col), [id_col], text_col)
     p = F.col("__score")
@@ -253,6 +258,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """``docs`` without rows that are predicted toxic; same columns."""
+    """``docs`` without rows that are predicted toxic; same columns.
+
+    Null and empty texts stay, repeated rows stay or go together, an empty table stays empty, and
+    without labels of both kinds every row stays.
+    """
     out = score(docs, train(docs, labels, id_col, text_col, label_col), docs.columns, text_col).where("__score < 0.5")
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
