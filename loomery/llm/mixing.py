@@ -11,7 +11,8 @@ taken meet the budget. Only built-in expressions are used.
 
 The histogram has at most as many rows per source as there are different document sizes, and
 every other table one row per source; rows of documents are never gathered by source or size
-without a salt.
+without a salt, and rows of one id are split by their number where there are many. All sums are
+of decimals or integers, so no result depends on the order in which tasks end.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ MAX_STEPS = 80
 TOLERANCE = 1e-9
 #: Rows of one (source, size) cell that share a ranking task; cells are salted to come to that.
 ROWS_PER_SALT, MAX_SALTS = 400, 1 << 16
+#: Rates in fixed point: whole copies are counted in units of 2**-RATE_BITS.
+RATE_BITS = 32
 #: Size classes per octave from which the last correction takes its candidates.
 CLASSES = 12
 
@@ -81,25 +84,27 @@ def solve_rates(cells: DataFrame, sources: DataFrame) -> DataFrame:
     for _ in range(MAX_STEPS):
         rows = cells.where("size > 0").join(maybe_broadcast(state), "skey")
         r = _rate(F.col("lam"), F.col("size"), F.col("scale"))
+        words = (F.col("cell_n") * F.col("size")).cast("decimal(20,0)")
+        # The slope only proposes a step, and the bracket judges it: a bound on its terms costs nothing.
+        steep = F.least(F.col("size") / F.col("scale"), F.lit(1e6)) * r
         step = rows.groupBy("skey").agg(
-            F.sum(F.col("cell_n") * F.col("size") * r).alias("g"),
-            F.sum(F.when(r < MOST_COPIES, F.col("cell_n") * F.col("size") * F.col("size") * r)).alias("slope"),
+            F.sum(words * r.cast("decimal(13,12)")).cast("double").alias("g"),
+            F.sum(F.when(r < MOST_COPIES, words * steep.cast("decimal(16,8)"))).cast("double").alias("slope"),
         )
-        new = state.join(maybe_broadcast(step), "skey", "left")
+        new = state.join(maybe_broadcast(store(step, "mix-step")), "skey", "left")
         new = new.withColumn("gap", F.coalesce(F.col("g"), F.lit(0.0)) - F.col("target"))
         new = new.withColumn("done", F.col("done") | (F.abs("gap") <= F.lit(TOLERANCE) * F.greatest("target", F.lit(1.0))))
         new = new.withColumn("low", F.when(F.col("gap") < 0, F.col("lam")).otherwise(F.col("low")))
         new = new.withColumn("high", F.when(F.col("gap") > 0, F.col("lam")).otherwise(F.col("high")))
-        slope = F.col("slope") / F.col("scale")
-        newton = F.when(slope > 0, F.col("lam") - F.col("gap") / slope)
+        newton = F.when(F.col("slope") > 0, F.col("lam") - F.col("gap") / F.col("slope"))
         inside = (newton > F.col("low")) & (newton < F.col("high"))
         middle = (F.col("low") + F.col("high")) / 2
         move = F.when(F.col("done"), F.col("lam")).when(inside, newton).otherwise(middle)
         new = new.withColumn("done", F.col("done") | (F.col("high") - F.col("low") <= F.lit(1e-14) * F.col("scale")))
         state = store(new.withColumn("lam", move).select(*names), "mix-state")
-        if not state.where("not done").limit(1).count():
-            break
-    return state
+        if state.where("not done").isEmpty():
+            return state
+    raise RuntimeError(f"the rates did not settle in {MAX_STEPS} steps")
 
 
 def _cumulative(cells: DataFrame) -> DataFrame:
@@ -107,10 +112,11 @@ def _cumulative(cells: DataFrame) -> DataFrame:
     r = _rate(F.col("lam"), F.col("size"), F.col("scale"))
     cells = cells.withColumn("rate", F.when(F.col("size") > 0, r).otherwise(F.lit(1.0)))
     upto = Window.partitionBy("skey").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
-    cells = cells.withColumn("due", F.col("rate") * F.col("cell_n")).withColumn("sum", F.sum("due").over(upto))
-    whole = F.floor(F.col("sum") + F.lit(0.5)) - F.floor(F.col("sum") - F.col("due") + F.lit(0.5))
-    # Sums of doubles may differ in the last place; a cell never gets more than three copies each.
-    return cells.withColumn("copies", F.least(F.greatest(whole, F.lit(0)), F.col("cell_n") * MOST_COPIES).cast("long"))
+    unit = 1 << RATE_BITS
+    due = F.floor(F.col("rate") * unit).cast("decimal(12,0)") * F.col("cell_n").cast("decimal(16,0)")
+    cells = cells.withColumn("due", due).withColumn("sum", F.sum("due").over(upto).cast("decimal(38,0)"))
+    whole = F.expr(f"(sum + {unit // 2}) div {unit} - (sum - due + {unit // 2}) div {unit}")
+    return cells.withColumn("copies", F.least(F.greatest(whole, F.lit(0)), F.col("cell_n") * MOST_COPIES).cast("long")).drop("due", "sum")
 
 
 def _corrected(cells: DataFrame) -> DataFrame:
@@ -151,11 +157,17 @@ def mix_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that repeat are rated like any others. The copies depend on the set of rows alone, so reruns
     agree. An empty table gives no rows. Other columns are ignored.
     """
-    skey = F.when(F.col(source_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(source_col).cast("string")))
-    rows = store(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), skey.alias("skey"), n_words(F.col(text_col)).alias("size")),
-        "mix-rows",
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    return _copies(numbered, "__row", id_col, text_col, source_col).select(
+        F.col("id").alias(id_col), "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
+
+
+def _copies(docs: DataFrame, row_col: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """row (a number of each row's own), id, source, size, source_size, target, rate and copies of every row."""
+    skey = F.when(F.col(source_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(source_col).cast("string")))
+    size = n_words(F.col(text_col)).alias("size")
+    rows = store(docs.select(F.col(row_col).alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), skey.alias("skey"), size), "mix-rows")
     plain = store(rows.groupBy("skey", "size").agg(F.first("source").alias("source"), F.count("*").alias("cell_n")), "mix-cells")
     totals = plain.groupBy("skey").agg(F.first("source").alias("source"), F.sum(F.col("size") * F.col("cell_n")).alias("source_size"), F.sum("cell_n").alias("n"))
     state = solve_rates(plain, source_targets(totals))
@@ -163,32 +175,44 @@ def mix_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cells = _corrected(_cumulative(plain.drop("source").join(maybe_broadcast(known), "skey")))
     cells = store(cells.select("skey", "size", "cell_n", "source_size", "target", "rate", "copies"), "mix-copies")
 
-    # A cell's copies go to its rows by rank; the ranks are counted salt by salt.
+    # A cell's copies go to its rows by rank; the ranks are counted run by run. A run is a salt of
+    # the cell by a hash of the id. An id with very many rows has runs of its own, by row number:
+    # its rows may take their ranks in any order.
     salts = min(MAX_SALTS, max(1, rows.count() // ROWS_PER_SALT))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id", "skey", "size"), F.lit(salts)).cast("int"))
-    runs = salted.groupBy("skey", "size", "salt").agg(F.count("*").alias("run_n"))
-    runs = runs.withColumn("before", F.sum("run_n").over(Window.partitionBy("skey", "size").orderBy("salt")) - F.col("run_n"))
-    runs = runs.join(cells, ["skey", "size"])
-    ranked = salted.withColumn("k", F.row_number().over(Window.partitionBy("skey", "size", "salt").orderBy("id")))
-    out = ranked.join(runs, ["skey", "size", "salt"])
+    hot = rows.groupBy("skey", "size", "id").agg(F.count("*").alias("of")).where(F.col("of") > ROWS_PER_SALT)
+    hot = store(hot.select("skey", "size", F.col("id").alias("hot_id"), F.ceil(F.col("of") / ROWS_PER_SALT).cast("long").alias("runs")), "mix-hot")
+    place = (rows["skey"] == hot["skey"]) & (rows["size"] == hot["size"]) & rows["id"].eqNullSafe(hot["hot_id"])
+    salted = rows.join(maybe_broadcast(hot), place, "left").select(
+        rows["*"],
+        F.pmod(F.xxhash64("id", rows["skey"], rows["size"]), F.lit(salts)).cast("int").alias("salt"),
+        F.when(F.col("runs").isNotNull(), F.struct(rows["id"].alias("id"), F.pmod(F.xxhash64("row"), F.col("runs")).alias("run"))).alias("own"),
+    )
+    run = ["skey", "size", "salt", "own"]
+    runs = salted.groupBy(*run).agg(F.count("*").alias("run_n"))
+    before = F.sum("run_n").over(Window.partitionBy("skey", "size").orderBy("salt", "own")) - F.col("run_n")
+    runs = store(runs.withColumn("before", before).join(cells, ["skey", "size"]), "mix-runs")
+    ranked = salted.withColumn("k", F.row_number().over(Window.partitionBy(*run).orderBy("id")))
+    same = (ranked["skey"] == runs["skey"]) & (ranked["size"] == runs["size"]) & (ranked["salt"] == runs["salt"]) & ranked["own"].eqNullSafe(runs["own"])
+    out = ranked.join(runs, same).select(ranked["row"], ranked["id"], ranked["source"], ranked["size"], "source_size", "target", "rate", "copies", "cell_n", "before", "k")
     # Ranks that get one more copy lie evenly over the cell, not at its front.
-    n, extra = F.col("cell_n"), F.expr("copies % cell_n")
-    rank = F.col("before") + F.col("k")
-    more = F.floor(rank * extra / n) - F.floor((rank - 1) * extra / n)
+    extra, rank = F.expr("cast(copies % cell_n as decimal(19,0))"), F.col("before") + F.col("k")
+    out = out.withColumn("extra", extra).withColumn("rank", rank)
+    more = F.expr("(rank * extra) div cell_n - ((rank - 1) * extra) div cell_n")
     copies = (F.expr("copies div cell_n") + F.least(more, F.lit(1))).cast("long")
-    return out.select(
-        F.col("id").alias(id_col), "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken")
-    )
+    return out.withColumn("copies", copies).drop("cell_n", "before", "k", "extra", "rank")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it; same columns.
 
-    Rows that share an id (or have none) are taken equally often, as often as the first of them.
+    Rows that share an id, or have none, are taken one by one, so the mix meets its targets with
+    them too. Null and empty texts stay once. An empty table stays empty.
     """
     names = docs.columns
     inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
-    times = mix_copies(docs, id_col, text_col, source_col).groupBy(F.col(id_col).alias("taken_id")).agg(F.max("copies").alias("times"))
-    joined = inner.join(times.where("times > 0"), F.col(f"c{names.index(id_col)}").eqNullSafe(F.col("taken_id")))
-    repeated = joined.withColumn("copy", F.explode(F.expr("sequence(1, times)")))
+    at = [f"c{names.index(c)}" for c in (id_col, text_col, source_col)]
+    # Numbered once and for all, so that numbers name the same rows in both readings.
+    inner = store(inner.withColumn("row", F.monotonically_increasing_id()), "mix-input")
+    times = _copies(inner, "row", *at).select("row", F.col("copies").cast("int").alias("times")).where("times > 0")
+    repeated = inner.join(times, "row").withColumn("copy", F.explode(F.expr("sequence(1, times)")))
     return repeated.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -354,6 +354,34 @@ def test_mixing_of_odd_rows(odd, empty):
     assert mixing.mix_copies(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_repeated_ids_are_mixed_row_by_row(spark, monkeypatch):
+    """Thousands of rows without id, and of one id, are taken one by one, and the words meet the targets."""
+    monkeypatch.setattr(mixing, "ROWS_PER_SALT", 50)
+    rows = [(None, "w " * (1 + i % 3), "a") for i in range(700)] + [(7, "v w", "b")] * 500 + [(i, "x y z", "c") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    made = mixing.mix_copies(docs).collect()
+    got = mixing.mix(docs).collect()
+    assert len(made) == len(rows) and len(got) == sum(r.copies for r in made)
+    assert max(r.copies for r in made) <= 3
+    words, want = Counter(), {r.source: r.target for r in made}
+    for r in got:
+        words[r.source] += len(r.text.split())
+    assert all(abs(words[s] - want[s]) <= 3 for s in want)
+    assert Counter((r.doc_id, r.taken, r.copies) for r in made) == Counter((r.doc_id, r.taken, r.copies) for r in mixing.mix_copies(docs.repartition(7)).collect())
+
+
+def test_one_row_of_a_component_stays_where_ids_repeat(spark):
+    """Ids that repeat with other texts of their component, with equal texts, and with texts of others."""
+    long = [f"w{i}" for i in range(200)]
+    near = " ".join([*long[:-1], "end"])
+    rows = [(1, " ".join(long)), (1, near), (1, near), (2, " ".join(long[1:])), (1, "some other text of one"), (3, "a text of its own here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = near_dedup.near_duplicates(docs, 3, 85).collect()
+    assert sorted((r.component_id, r.n_shingles, r.kept) for r in marks if r.n_shingles > 100)[-1][2] and sum(r.kept for r in marks) == 3
+    left = sorted((r.doc_id, len(r.text)) for r in near_dedup.drop_near_duplicates(docs, 3, 85).collect())
+    assert [x for x in left if x[1] < 100] == [(1, 22), (3, 22)] and len({x for x in left if x[1] > 100}) == 1
+
+
 def test_targets_share_out_what_lies_above_the_cap(spark):
     sizes = {"a": 5, "b": 1000, "c": 20, None: 400}
     rows = [("-" if s is None else "+" + s, s, n, 1) for s, n in sizes.items()]

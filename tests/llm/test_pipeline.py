@@ -38,3 +38,19 @@ def test_stages(spark, sf_dir):
     for r in kept["mixing"]:
         texts[r.doc_id].append(r.text or "")
     _check_pieces(kept["packing"], texts, 4096)
+
+
+def test_odd_rows_pass_every_stage(spark, odd, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing names; and a table without rows."""
+    labels = spark.createDataFrame([(1, 0), (8, 0), (10, 1)], "doc_id long, toxic int")
+    for name, docs in (("odd", odd), ("none", odd.where("false"))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        at, docs = f"{tmp_path}/{name}", spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            was, docs = docs, store(f(spark, docs, at), f"odd-{stage}")
+            assert docs.columns == was.columns
+            assert docs.count() <= was.count() * 3
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, at)
+        n = docs.where("text is null or text = ''").count()
+        assert pieces.where("doc_tokens = 1").count() >= n and (pieces.count() > 0) == (name == "odd")
