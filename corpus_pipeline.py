@@ -27,22 +27,32 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows predicted toxic go. Null and empty texts stay; an empty table stays empty; without labels
+    of both kinds nothing goes. Columns stay, whatever their names."""
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of equal texts stays, the one of the smallest id (null ids last). Null equals empty;
+    repeated rows count as copies; an empty table stays empty. Columns stay, whatever their names."""
     return drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component stays, one of its smallest id. Rows without words or id stay; rows that
+    repeat with id and text go together; an empty table stays empty. Columns stay, whatever their names."""
     return drop_near_duplicates(docs, width=5, percent=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows are repeated up to three times or left out, by source and size. Null is a source of its own;
+    texts without words stay once; repeated rows are taken one by one; an empty table stays empty."""
     return mix(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences. A null or empty text is its end token alone; repeated rows are packed
+    each; a null id stays null; an empty table gives no pieces. Columns are those of the pieces."""
     return pack(docs)
 
 
