@@ -9,6 +9,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Codec of the stored steps. The default one keeps direct buffers of the size of its largest pages,
+#: which pages of long arrays and whole texts make large, outside the heap until the heap is cleaned.
+CODEC = "zstd"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
@@ -41,7 +45,7 @@ def settled(df: DataFrame, what: str = "step") -> DataFrame:
     but multiply them.
     """
     path = scratch_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", CODEC).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -54,7 +58,7 @@ class Rounds:
     def add(self, df: DataFrame) -> DataFrame:
         """Write the round, and give back its rows."""
         path, self.n = f"{self.path}/round-{self.n}", self.n + 1
-        df.write.parquet(path)
+        df.write.option("compression", CODEC).parquet(path)
         self.schema = self.schema or df.schema
         return self.spark.read.schema(self.schema).parquet(path)
 
