@@ -202,20 +202,20 @@ def shard_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_c
             byte_size(F.col(text_col)).alias("size"),
             F.crc32(F.encode(text, "UTF-8")).alias("crc"),
             F.xxhash64(text).alias("h"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "shard-rows",
     )
-    own, last = minimax_cuts(rows, shards)
-    # A shard is numbered in runs: rows are dealt to runs by a hash of their id, the few counts of
-    # the runs are summed up, and each run numbers its rows from there.
+    groups = store(rows.groupBy("h").agg(F.sum("size").alias("size")), "shard-groups")
+    own, last = minimax_cuts(groups, shards)
+    # A shard is numbered in runs: rows are dealt to runs by a hash of their stored number, so that
+    # repeated rows spread like any others, the few counts of the runs are summed up, and each run
+    # numbers its rows from there.
     runs = max(MIN_RUNS, rows.count() // (ROWS_PER_RUN * shards))
-    placed = rows.withColumn("shard", _shard(F.col("h"), own, last)).withColumn(
-        "run", F.pmod(F.xxhash64("id", "h", "size"), F.lit(runs)).cast("int")
-    )
-    # Repeated rows agree on every column; a run of them is a tie that any order settles.
+    placed = rows.withColumn("shard", _shard(F.col("h"), own, last)).withColumn("run", F.pmod(F.xxhash64("row"), F.lit(runs)).cast("int"))
     counts = placed.groupBy("shard", "run").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("run")) - F.col("n")
-    numbered = placed.withColumn("k", F.row_number().over(Window.partitionBy("shard", "run").orderBy("id")))
+    numbered = placed.withColumn("k", F.row_number().over(Window.partitionBy("shard", "run").orderBy("id", "row")))
     return numbered.join(counts.select("shard", "run", before.alias("before")), ["shard", "run"]).select(
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("before") + F.col("k") - 1).alias("slot")
     )
