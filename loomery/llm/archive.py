@@ -4,7 +4,8 @@ Writing: every page becomes one record. Of pages with equal payloads the one wit
 is a ``response`` with the payload; the others are ``revisit`` records that point at it and carry
 no payload. Records are whole strings in UTF-8 and a record ends with two line ends, so Spark's
 text writer with that separator produces valid WARC files in the shared folder, with its usual
-commit of finished tasks; a lost executor leaves no half-written archive behind.
+commit of finished tasks; a lost executor leaves no half-written archive behind. A row of that
+text is the content of one archive, cut where its bytes are enough whatever the sizes of its pages.
 
 Reading: archives are read as bytes and cut by Content-Length, the only thing that tells where a
 payload ends. Each archive gives a run of index entries sorted by (URL key, timestamp, page id).
@@ -31,7 +32,7 @@ from pyspark.sql.window import Window
 from loomery.llm.common import map_arrow, maybe_broadcast, scratch_path, store, whole_text
 
 END = "\r\n\r\n"
-#: Bytes of payload per archive, on average: what a task holds when it reads one.
+#: Bytes after which an archive ends: what a task holds when it reads one, unless one page is larger.
 ARCHIVE_BYTES = 8 << 20
 #: Index entries per range of the merge, on average.
 RANGE_ROWS = 20_000
@@ -75,17 +76,22 @@ def _record(page_id: int | None, url: str | None, html: str, digest: str, respon
     return "\r\n".join(head) + END + block
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The content of one archive after the other, without the two line ends behind its last record."""
+    out, held = [], 0
+    done = lambda: pa.RecordBatch.from_arrays([pa.array([END.join(out)], pa.string())], ["value"])
     for b in batches:
-        out, held = [], 0
         for page, url, html, sha, top, own in zip(*b.columns):
             digest = base64.b32encode(bytes.fromhex(sha.as_py())).decode()
-            out.append(_record(page.as_py(), url.as_py(), html.as_py(), digest, top.as_py(), own.as_py()))
-            held += len(out[-1])
-            if held > ARCHIVE_BYTES:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+            record = _record(page.as_py(), url.as_py(), html.as_py(), digest, top.as_py(), own.as_py())
+            size = len(record.encode())
+            if out and held + size > ARCHIVE_BYTES:
+                yield done()
                 out, held = [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+            out.append(record)
+            held += size
+    if out:
+        yield done()
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
@@ -93,12 +99,13 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     html = whole_text(F.col(html_col))
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.encode("html", "UTF-8")))
-    # Of equal payloads the largest id; ids that are null come before all others.
-    tops = store(rows.groupBy("sha").agg(F.max("page").alias("top")), "warc-tops")
-    size = pages.select(F.count("*").alias("n"), F.sum(F.octet_length(html)).alias("b")).head()
-    each = max(1, (size["n"] or 1) * ARCHIVE_BYTES // max(1, size["b"] or 1))
-    placed = rows.join(maybe_broadcast(tops), "sha").select("page", "url", "html", "sha", "top", F.col("page").eqNullSafe(F.col("top")).alias("own"))
-    map_arrow(placed, _records, "value string").write.option("lineSep", END).option("maxRecordsPerFile", each).text(path)
+    # Of equal payloads the largest id; ids that are null come before all others. Only payloads
+    # that repeat need a table, and pages that are alone answer for themselves.
+    tops = store(rows.groupBy("sha").agg(F.max("page").alias("most"), F.count("*").alias("of")).where("of > 1").select("sha", "most"), "warc-tops")
+    met = rows.join(maybe_broadcast(tops.withColumn("again", F.lit(True))), "sha", "left")
+    top = F.when(F.col("again"), F.col("most")).otherwise(F.col("page"))
+    placed = met.select("page", "url", "html", "sha", top.alias("top"), F.col("page").eqNullSafe(top).alias("own"))
+    map_arrow(placed, _archives, "value string").write.option("lineSep", END).option("maxRecordsPerFile", 1).text(path)
 
 
 def parse_archive(data: bytes) -> Iterator[tuple]:
@@ -221,8 +228,11 @@ def archive_pages(pages: DataFrame, path: str | None = None, id_col: str = "page
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").where("length > 0")
     entries = store(map_arrow(files, _entries, ENTRY), "warc-runs")
     history = capture_history(entries)
-    # A revisit's payload is that of the response with its digest.
-    size = history.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("bytes"))
-    out = history.join(maybe_broadcast(store(size, "warc-sizes")), "payload_digest")
+    # A revisit's payload is that of the response with its digest; a response tells its own.
+    history = store(history, "warc-history")
+    again = history.where("record_type = 'revisit'").drop("payload_bytes")
+    size = history.where("record_type = 'response'").join(again.select("payload_digest").distinct(), "payload_digest", "left_semi")
+    size = store(size.groupBy("payload_digest").agg(F.max("payload_bytes").alias("bytes")), "warc-sizes")
+    out = history.where("record_type = 'response'").withColumnRenamed("payload_bytes", "bytes").unionByName(again.join(maybe_broadcast(size), "payload_digest"))
     first = [F.col("page_id").alias(id_col), F.col("bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"]
     return out.select(*first, "url_key", "captured", "run", "record_offset", "record_length", "position")
