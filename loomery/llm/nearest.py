@@ -2,21 +2,24 @@
 
 Vectors are assigned to the nearest of a set of centres (k-means, fitted in numpy on a bounded
 sample); every row is indexed. A query probes the lists of its nearest centres. Vectors are
-rotated by a random orthogonal matrix, so that the distance over the first d of D rotated
-columns, scaled by D / d, estimates the whole distance. A list is scanned in blocks of columns:
-after each block a hypothesis test drops the candidates whose partial distance is too large to
-belong to the nearest seen so far; only survivors read the next block. What is left is ranked by
-the exact distance on the original vectors in double precision.
-
-Lists are cut into blocks of rows, and the queries of a list into blocks of queries, so neither a
-vector that a third of all rows have nor a query set that grows with the table meets in one task;
-each task keeps a query's best of its block only.
+rotated by a random orthogonal matrix, so that the first d of D rotated columns hold a share of a
+squared distance that follows a Beta(d/2, (D-d)/2) law. A list is scanned in chunks of rows and
+blocks of columns: after each block a hypothesis test abandons the candidates whose partial
+distance is so large that a candidate as near as the k-th nearest seen so far would show it with
+a chance of ERROR at most; only survivors read the next block, and after each chunk the k-th
+nearest is taken anew, so the bound tightens as the scan goes on. What is left is ranked by the
+exact distance on the original vectors in double precision. A true neighbour is lost by a test
+with a chance of ERROR, and by all tests of a list with one of ERROR times the column blocks.
+
+Lists are cut into blocks of rows and the queries of a list into blocks of queries, as many as
+that list has, so neither a vector that a third of all rows have nor a query set that grows with
+the table meets in one task; each task keeps a query's best of its block only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import sqrt
+from math import isqrt, lgamma
 
 import numpy as np
 import pandas as pd
@@ -28,17 +31,29 @@ from loomery.llm.common import store, worker_path
 
 #: Rows that the centres are fitted on, by a hash of the id.
 SAMPLE_ROWS = 20_000
-MAX_LISTS, ROWS_PER_LIST, ROUNDS, SEED = 1024, 200, 8, 11
+ROWS_PER_LIST, ROUNDS, SEED = 200, 8, 11
+#: Lists grow with the rows, then with their root, up to what the sample can place.
+FEW_LISTS, MAX_LISTS = 1024, SAMPLE_ROWS // 4
 #: Probes are set so that lists of this share of the true neighbours are visited, measured on so
 #: many queries of the sample, whose neighbours are farther and thus harder than those of all rows.
 TARGET, TRIALS, MIN_PROBES = 0.96, 200, 8
 #: Rows of one list that a task scans at a time: a 400th of the table within these bounds, for a
 #: query's vector is sent to every block. And queries that meet such a block at a time.
 BLOCK_ROWS, MOST_BLOCK_ROWS, BLOCK_QUERIES = 512, 16_384, 8192
-COLUMNS = 16
-#: The test's slack: a candidate is dropped if its scaled partial distance exceeds the bound by the
-#: factor 1 + SLACK / sqrt(d).
-SLACK = 1.5
+#: Columns between two tests, rows between two bounds, and the chance that a test abandons a
+#: candidate that is nearer than the bound.
+COLUMNS, CHUNK, ERROR = 16, 256, 1e-3
+
+
+def share_limit(seen: int, width: int, error: float = ERROR) -> float:
+    """The share of a squared distance that ``seen`` of ``width`` rotated columns exceed with chance ``error``."""
+    if seen >= width:
+        return 1.0
+    a, b, n = seen / 2, (width - seen) / 2, 20_000
+    x = (np.arange(n) + 0.5) / n
+    density = np.exp((a - 1) * np.log(x) + (b - 1) * np.log1p(-x) + lgamma(a + b) - lgamma(a) - lgamma(b)) / n
+    above = np.cumsum(density[::-1])[::-1]
+    return float(x[min(n - 1, int(np.searchsorted(-above, -error)))])
 
 
 def fit_centres(x: np.ndarray, lists: int) -> np.ndarray:
@@ -82,27 +97,28 @@ def scan(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, ids: np.ndarray
     rows, ids = rows[order], ids[order]
     rq, rr = (queries @ turn).astype(np.float32), (rows @ turn).astype(np.float32)
     width, out = rows.shape[1], []
+    tests = [(at, min(at + COLUMNS, width)) for at in range(0, width, COLUMNS)]
+    # A little more than the law says, for the single precision of the rotated columns.
+    limits = [share_limit(end, width) * (1 + 1e-4) for _, end in tests]
     for i in range(len(queries)):
-        live = np.flatnonzero(ids != own[i])
-        # The first rows set the bound; the rest have to beat it.
-        first, live = live[: 2 * k], live[2 * k :]
-        exact = np.sqrt(((rows[first] - queries[i]) ** 2).sum(1))
-        if len(live):
-            bound = np.partition(exact, k - 1)[k - 1] if len(exact) >= k else np.inf
+        mine, exact, bound = np.zeros(0, np.int64), np.zeros(0), np.inf
+        others = np.flatnonzero(ids != own[i])
+        for first in range(0, len(others), CHUNK):
+            live = others[first : first + CHUNK]
             part = np.zeros(len(live), np.float32)
-            for at in range(0, width, COLUMNS):
-                diff = rr[live, at : at + COLUMNS] - rq[i, at : at + COLUMNS]
+            for (at, end), limit in zip(tests, limits):
+                diff = rr[live, at:end] - rq[i, at:end]
                 part += np.einsum("ij,ij->i", diff, diff)
-                seen = min(at + COLUMNS, width)
-                limit = bound * (1 + SLACK / sqrt(seen)) if seen < width else bound * (1 + 1e-4) + 1e-6
-                stay = np.sqrt(part * (width / seen)) <= limit
+                stay = part <= bound * bound * limit + 1e-9
                 live, part = live[stay], part[stay]
                 if not len(live):
                     break
-            first = np.concatenate([first, live])
+            mine = np.concatenate([mine, live])
             exact = np.concatenate([exact, np.sqrt(((rows[live] - queries[i]) ** 2).sum(1))])
-        best = np.lexsort((ids[first], exact))[:k]
-        out += [(i, int(ids[first[j]]), float(exact[j])) for j in best]
+            best = np.lexsort((ids[mine], exact))[:k]
+            mine, exact = mine[best], exact[best]
+            bound = exact[-1] if len(exact) == k else np.inf
+        out += [(i, int(ids[j]), float(d)) for j, d in zip(mine, exact)]
     return out
 
 
@@ -136,7 +152,7 @@ def nearest(
     rows = rows.where(F.size("v") == width)
 
     some = rows.orderBy(F.xxhash64("id", "v")).limit(SAMPLE_ROWS).select("v").toPandas()["v"]
-    lists = max(1, min(MAX_LISTS, n // ROWS_PER_LIST))
+    lists = max(1, min(n // ROWS_PER_LIST, max(FEW_LISTS, isqrt(n)), MAX_LISTS))
     sample = np.stack(some.to_numpy()).astype(float)
     centres = fit_centres(sample, lists)
     probes = probes or probes_needed(sample, centres, k)
@@ -156,18 +172,21 @@ def nearest(
 
         return run
 
-    # Every row in its list, in blocks by a hash of its id.
+    # Every row in its list, in blocks by its stored number; every query in the lists it probes. A
+    # list of so many blocks of rows and of queries is met in all pairs of these: rows are repeated
+    # once per block of the queries that probe their own list.
     kind = "id long, v array<double>, list int"
-    indexed = store(rows.mapInPandas(assign(1), kind), "nearest-index")
-    block_rows, turns = max(BLOCK_ROWS, min(MOST_BLOCK_ROWS, n // 400)), 1 + n // query_every // BLOCK_QUERIES
-    sizes = indexed.groupBy("list").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))  # one row per list
-    block = F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(turns - 1)))
-    indexed = indexed.join(F.broadcast(sizes), "list").select("list", block.alias("block"), every.alias("turn"), F.lit(False).alias("asks"), "id", "v")
+    indexed = store(rows.mapInPandas(assign(1), kind).withColumn("row", F.monotonically_increasing_id()), "nearest-index")
     asked = rows.where(F.col("id") % query_every == 0).groupBy("id").agg(F.min("v").alias("v"))
-    probing = asked.mapInPandas(assign(probes), kind).join(F.broadcast(sizes), "list")
-    one = F.pmod(F.xxhash64("id"), F.lit(turns)).cast("int")
-    probing = probing.select("list", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), one.alias("turn"), F.lit(True).alias("asks"), "id", "v")
+    probing = store(asked.mapInPandas(assign(probes), kind), "nearest-probes")
+    block_rows = max(BLOCK_ROWS, min(MOST_BLOCK_ROWS, n // 400))
+    # One row per list, of which there are MAX_LISTS at most.
+    blocks = indexed.groupBy("list").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    turns = probing.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("turns"))
+    sizes = F.broadcast(store(blocks.join(turns, "list"), "nearest-sizes"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    indexed = indexed.join(sizes, "list").select("list", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"), every("turns").alias("turn"), F.lit(False).alias("asks"), "id", "v")
+    probing = probing.join(sizes, "list").select("list", every("blocks").alias("block"), F.pmod(F.xxhash64("id"), F.col("turns")).cast("int").alias("turn"), F.lit(True).alias("asks"), "id", "v")
 
     def visit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         asks = part["asks"].to_numpy()
