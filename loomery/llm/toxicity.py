@@ -34,6 +34,8 @@ SAMPLE_BYTES = 16_384
 BUCKET_BITS, DIM = 17, 12
 GRAMS = (3, 4, 5)
 LEAST_TEXTS = 8
+#: Words whose n-grams are hashed at once.
+WORDS_AT_ONCE = 8192
 #: How much a word's own part in the softmax counts in its weight; 0 would be the plain average,
 #: which finds hardly any insult among hundreds of words.
 SHARPNESS = 1.0
@@ -72,6 +74,15 @@ def buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return found[order].astype(np.int64), np.searchsorted(owner[order], np.arange(len(bare)))
 
 
+def _buckets_of_all(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """What ``buckets`` gives, a few words at a time: its inner arrays are many times as large as the words."""
+    found = [buckets(words[at : at + WORDS_AT_ONCE]) for at in range(0, len(words), WORDS_AT_ONCE)]
+    if not found:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    before = np.cumsum([0, *[len(ids) for ids, _ in found[:-1]]])
+    return np.concatenate([ids.astype(np.int32) for ids, _ in found]), np.concatenate([begins + b for (_, begins), b in zip(found, before)])
+
+
 def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Codes and offsets of the texts' words (lower case, white space apart) without empty ones."""
     codes, offsets, words = coded(pc.utf8_split_whitespace(pc.utf8_lower(texts.cast(pa.large_string()))))
@@ -114,7 +125,7 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
     # Sums of squared gradients; they start at what one word of a long text typically brings.
     seen_table, seen_axis, seen_bias = np.full(size, START), np.full(DIM, 1e-2), 1.0
     codes, offsets, words = _split(pa.array(texts))
-    ids, begins = buckets(words) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    ids, begins = _buckets_of_all(words)
     sizes, truth = np.diff(np.append(begins, len(ids))), np.array(labels, float)
     # A bucket that few texts of the sample have can only be learnt by heart: it stays at zero.
     told = np.zeros(size, np.int64)
@@ -227,7 +238,7 @@ def score(docs: DataFrame, model: Model | None, carry: list[str], text_col: str
         weights, bias = held.value
 
         def parts(words: list[str]) -> list[float]:
-            ids, begins = buckets(words)
+            ids, begins = _buckets_of_all(words)
             n = np.diff(np.append(begins, len(ids)))
             return (np.add.reduceat(weights[ids].astype(float), begins) / n).tolist()
 
