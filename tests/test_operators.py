@@ -53,6 +53,16 @@ def test_components(spark, pairs):
     assert {tuple(r) for r in graph.components(_edges(spark, pairs)).collect()} == want
 
 
+def test_components_of_a_long_path_take_few_rounds(spark, monkeypatch):
+    """Two paths of two thousand nodes, numbered out of order: labels double their reach each round."""
+    monkeypatch.setattr(graph, "MAX_ROUNDS", 40)
+    order = [(i * 7919) % 2003 for i in range(2000)]
+    path = list(zip(order, order[1:]))
+    got = {tuple(r) for r in graph.components(_edges(spark, path + [(a + 5000, b + 5000) for a, b in path])).collect()}
+    low = min(order)
+    assert got == {(i, low) for i in order} | {(i + 5000, low + 5000) for i in order}
+
+
 def test_levels(spark):
     got = {tuple(r) for r in graph.levels(_edges(spark, [(1, 2), (2, 3), (1, 3), (4, 3)])).collect()}
     assert got == {(1, 2), (2, 1), (3, 0), (4, 1)}
