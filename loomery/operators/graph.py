@@ -49,6 +49,18 @@ def closure(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     raise RuntimeError("the graph is deeper than MAX_ROUNDS")
 
 
+def labelled_reach(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """label, id: what the rows of ``start`` (label, id) of each label reach, themselves included."""
+    step, rounds = settled(edges.select("src", "dst").distinct()), Rounds(edges.sparkSession)
+    front = rounds.add(start.select("label", "id").distinct())
+    for _ in range(MAX_ROUNDS):
+        found = front.join(step, F.col("id") == F.col("src")).select("label", F.col("dst").alias("id")).distinct()
+        front = rounds.add(found.join(rounds.all(), ["label", "id"], "left_anti"))
+        if front.isEmpty():
+            return rounds.all()
+    raise RuntimeError("the graph is deeper than MAX_ROUNDS")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, component: the smallest id joined with it by edges of either direction; for ends of edges.
 

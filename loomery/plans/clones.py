@@ -45,6 +45,19 @@ def winnow_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow(kgrams(spark, sf_dir))
 
 
+def followed(rows: DataFrame, width: int = 4096) -> DataFrame:
+    """``rows`` (id, k, h, ...) with ``next``: (id, k) of the next row of the same h, null for its last.
+
+    A hot h is cut into ranges of ``width`` ids, so that no task sorts it whole; the last row of a
+    range is followed by the first of the next range that has any.
+    """
+    cut = rows.withColumn("range", F.expr(f"id div {width}"))
+    inside = cut.withColumn("next", F.lead(F.struct("id", "k")).over(Window.partitionBy("h", "range").orderBy("id", "k")))
+    first = cut.groupBy("h", "range").agg(F.min(F.struct("id", "k")).alias("first"))
+    later = first.select("h", "range", F.lead("first").over(Window.partitionBy("h").orderBy("range")).alias("later"))
+    return inside.join(later, ["h", "range"]).withColumn("next", F.coalesce("next", "later")).drop("range", "later")
+
+
 def hash_pairs(prints: DataFrame, hot: int = HOT) -> DataFrame:
     """id_a, k_a, id_b, k_b of equal fingerprints: all pairs of a small group, neighbours of a hot one.
 
@@ -56,8 +69,7 @@ def hash_pairs(prints: DataFrame, hot: int = HOT) -> DataFrame:
     a = p.where(F.col("n") <= hot).select("h", F.col("id").alias("id_a"), F.col("k").alias("k_a"))
     b = a.select("h", F.col("id_a").alias("id_b"), F.col("k_a").alias("k_b"))
     small = a.join(b, "h").where("id_a < id_b or (id_a = id_b and k_a < k_b)").drop("h")
-    by = Window.partitionBy("h").orderBy("id", "k")
-    chained = p.where(F.col("n") > hot).withColumn("next", F.lead(F.struct("id", "k")).over(by)).where("next is not null")
+    chained = followed(p.where(F.col("n") > hot)).where("next is not null")
     return small.unionByName(chained.select(F.col("id").alias("id_a"), F.col("k").alias("k_a"), F.col("next.id").alias("id_b"), F.col("next.k").alias("k_b")))
 
 
@@ -71,10 +83,15 @@ def fingerprint_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_pairs(winnow(kgrams(spark, sf_dir)))
 
 
-CLONES = """two AS (SELECT h FROM gram GROUP BY h HAVING count(DISTINCT id) BETWEEN 2 AND 64),
-hit AS (SELECT DISTINCT a.id AS id_a, b.id AS id_b, b.k - a.k AS diagonal, a.k FROM gram a JOIN gram b ON a.h = b.h AND a.id < b.id WHERE a.h IN (SELECT h FROM two)),
-run AS (SELECT id_a, id_b, diagonal, min(k) AS start_a, count(*) + 4 AS n FROM (
-    SELECT *, k - row_number() OVER (PARTITION BY id_a, id_b, diagonal ORDER BY k) AS i FROM hit) GROUP BY id_a, id_b, diagonal, i HAVING count(*) + 4 >= 6)"""
+CLONES = """wide AS (SELECT id, k, h || lead(h) OVER (PARTITION BY id ORDER BY k) AS h FROM gram),
+part AS (SELECT id, k, h, n FROM wide JOIN (SELECT h, count(DISTINCT id) AS n FROM wide GROUP BY h HAVING count(DISTINCT id) > 1) USING (h)),
+cold AS (SELECT a.id AS id_a, b.id AS id_b, b.k - a.k AS diagonal, a.k FROM part a JOIN part b ON a.h = b.h AND a.id < b.id WHERE a.n <= 64),
+chain AS (SELECT id AS id_a, id2 AS id_b, k2 - k AS diagonal FROM (
+    SELECT id, k, lead(id) OVER o AS id2, lead(k) OVER o AS k2 FROM part WHERE n > 64 WINDOW o AS (PARTITION BY h ORDER BY id, k)) WHERE id2 > id),
+line AS (SELECT id_a, id_b, diagonal FROM cold UNION SELECT id_a, id_b, diagonal FROM chain),
+hit AS (SELECT * FROM cold UNION ALL SELECT id_a, id_b, diagonal, a.k FROM line JOIN part a ON a.id = id_a AND a.n > 64 JOIN part b ON b.id = id_b AND b.k = a.k + diagonal AND b.h = a.h),
+run AS (SELECT id_a, id_b, diagonal, min(k) AS start_a, count(*) + 5 AS n FROM (
+    SELECT *, k - row_number() OVER (PARTITION BY id_a, id_b, diagonal ORDER BY k) AS i FROM hit) GROUP BY id_a, id_b, diagonal, i)"""
 
 
 def wide_grams(grams: DataFrame, least: int) -> DataFrame:
@@ -103,7 +120,7 @@ def runs(grams: DataFrame, least: int = 6, hot: int = HOT) -> DataFrame:
     a, b = few.select("h", F.col("id").alias("id_a"), F.col("k").alias("k")), few.select("h", F.col("id").alias("id_b"), F.col("k").alias("k_b"))
     diagonal = (F.col("k_b") - F.col("k")).alias("diagonal")
     cold = a.join(b, "h").where("id_a < id_b").select("id_a", "id_b", diagonal, "k")
-    chained = many.withColumn("next", F.lead(F.struct("id", "k")).over(Window.partitionBy("h").orderBy("id", "k"))).where("next.id > id")
+    chained = followed(many).where("next.id > id")
     chained = chained.select(F.col("id").alias("id_a"), F.col("next.id").alias("id_b"), (F.col("next.k") - F.col("k")).alias("diagonal"), "k")
     # What is equal on the diagonals found so far, at parts that only the chain knows.
     lines = cold.select("id_a", "id_b", "diagonal").union(chained.select("id_a", "id_b", "diagonal")).distinct()

@@ -55,49 +55,48 @@ def dead_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     dead = settled(files(spark, sf_dir).select("id").join(alive, "id", "left_anti"))
     inner = edges.where("src <> dst").join(dead.withColumnRenamed("id", "src"), "src", "left_semi")
     inner = settled(inner.join(dead.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"))
-    roots = dead.join(inner.select(F.col("dst").alias("id")), "id", "left_anti")
-    under = graph.closure(inner).join(roots.withColumnRenamed("id", "src"), "src", "left_semi").where("src <> dst")
+    roots = settled(dead.join(inner.select(F.col("dst").alias("id")), "id", "left_anti"))
+    under = graph.closure(inner, roots).where("src <> dst")
     n = under.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
     return roots.join(n, "id", "left").select(F.col("id").alias("root"), F.coalesce("n", F.lit(0)).cast("long").alias("dependents"))
 
 
 @query(
-    """WITH depends(src, dst) AS (SELECT src, dst FROM live UNION SELECT depends.src, live.dst FROM depends JOIN live ON live.src = depends.dst)
-       SELECT src, dst FROM depends JOIN in_dir a ON a.id = src JOIN in_dir b ON b.id = dst WHERE a.dir <> b.dir""",
+    """WITH top AS (SELECT id, split_part(path, '/', 1) AS top FROM file),
+       depends(top, id) AS (SELECT top, dst FROM live JOIN top ON top.id = src UNION SELECT depends.top, live.dst FROM depends JOIN live ON live.src = depends.id)
+       SELECT depends.top AS src, depends.id AS dst FROM depends JOIN top ON top.id = depends.id WHERE top.top <> depends.top""",
     facts=True,
 )
 def depends_across_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transitive dependencies between files of different directories."""
-    d = in_dir(files(spark, sf_dir))
-    pairs = graph.closure(live_refs(refs(spark, sf_dir)))
-    pairs = pairs.join(d.select(F.col("id").alias("src"), F.col("dir").alias("x")), "src")
-    return pairs.join(d.select(F.col("id").alias("dst"), F.col("dir").alias("y")), "dst").where("x <> y").select("src", "dst")
-
-
-BRANDS = """brand_ref AS (
-    SELECT DISTINCT split_part(a.path, '/', 1) || '/' || split_part(a.path, '/', 2) AS src, split_part(b.path, '/', 1) || '/' || split_part(b.path, '/', 2) AS dst
-    FROM ref JOIN file a ON a.id = ref.src JOIN file b ON b.id = ref.dst WHERE kind = 'import' AND rung = 4
-)"""
-
+    """Files that a top directory depends on, directly or through others, outside of it.
 
-def brand_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst: imports of rung 4 lifted to the two upper directory levels."""
-    f = files(spark, sf_dir).select("id", F.substring_index("path", "/", 2).alias("top"))
-    r = refs(spark, sf_dir).where("kind = 'import' and rung = 4").select("src", "dst")
-    r = r.join(f.select(F.col("id").alias("src"), F.col("top").alias("a")), "src").join(f.select(F.col("id").alias("dst"), F.col("top").alias("b")), "dst")
-    return r.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    The pairs are of a top directory and a file, not of two files: a row per file and module at most.
+    """
+    top = settled(files(spark, sf_dir).select("id", F.substring_index("path", "/", 1).alias("top")))
+    edges = settled(live_refs(refs(spark, sf_dir)))
+    first = edges.join(top.withColumnRenamed("id", "src"), "src").select("top", F.col("dst").alias("id"))
+    found = graph.labelled_reach(edges, first.withColumnRenamed("top", "label"))
+    return found.join(top, "id").where("label <> top").select(F.col("label").alias("src"), F.col("id").alias("dst"))
 
 
 @query(
-    f"""WITH {BRANDS}, far(src, dst) AS (SELECT * FROM brand_ref WHERE src <> dst UNION SELECT far.src, b.dst FROM far JOIN brand_ref b ON b.src = far.dst)
-       SELECT a.src AS dir_a, a.dst AS dir_b FROM far a JOIN far b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst""",
+    """WITH r AS (SELECT DISTINCT a.dir AS src, b.dir AS dst FROM ref JOIN in_dir a ON a.id = ref.src JOIN in_dir b ON b.id = ref.dst WHERE a.dir <> b.dir),
+       far(src, dst) AS (SELECT src, dst FROM r UNION SELECT far.src, r.dst FROM far JOIN r ON r.src = far.dst),
+       mutual AS (SELECT a.src, a.dst FROM far a JOIN far b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst)
+       SELECT src AS dir, least(src, min(dst)) AS cycle, count(*) + 1 AS size FROM mutual GROUP BY src""",
     facts=True,
 )
 def pack_no_dir_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unordered pairs of directories that reach each other: pairs inside one strong component."""
-    s = graph.strong_components(brand_refs(spark, sf_dir)).select("id", "component")
-    other = s.select(F.col("id").alias("dir_b"), "component")
-    return s.select(F.col("id").alias("dir_a"), "component").join(other, "component").where("dir_a < dir_b").select("dir_a", "dir_b")
+    """Directories that reach each other over references of any kind, with their cycle's first directory and size.
+
+    Any two directories of one cycle are a pair that the rule forbids; the pairs, as many as the
+    square of a cycle, are not spelled out.
+    """
+    d = in_dir(files(spark, sf_dir))
+    r = refs(spark, sf_dir).select("src", "dst").join(d.select(F.col("id").alias("src"), F.col("dir").alias("a")), "src")
+    r = r.join(d.select(F.col("id").alias("dst"), F.col("dir").alias("b")), "dst").where("a <> b")
+    found = graph.strong_components(r.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return found.select(F.col("id").alias("dir"), F.col("component").alias("cycle"), "size")
 
 
 @query(

@@ -34,9 +34,9 @@ def dl_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refs(spark, sf_dir).join(a, "src").join(b, "dst").where("dir_a < dir_b").select("dir_a", "dir_b").distinct()
 
 
-@query("SELECT id, path FROM file WHERE id NOT IN (SELECT dst FROM ref)", facts=True)
+@query("SELECT id, path FROM file WHERE id NOT IN (SELECT dst FROM ref WHERE kind = 'import')", facts=True)
 def dl_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used = refs(spark, sf_dir).select(F.col("dst").alias("id"))
+    used = refs(spark, sf_dir).where("kind = 'import'").select(F.col("dst").alias("id"))
     return files(spark, sf_dir).join(used, "id", "left_anti").select("id", "path")
 
 

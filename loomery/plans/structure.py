@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomery.functions import shape_bits
+from loomery.operators import graph
 from loomery.plans.registry import query
-from loomery.sources.facts import files, in_dir, refs
+from loomery.sources.facts import files, in_dir, live_refs, refs
 from loomery.sources.tables import table
 
 
@@ -129,23 +130,25 @@ def dir_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH clone AS (SELECT p_name || ' ' || p_type AS k, p_partkey AS id FROM part),
        block AS (SELECT k, id FROM clone WHERE k IN (SELECT k FROM clone GROUP BY k HAVING count(*) >= 2)),
        a AS (SELECT dir, count(DISTINCT k) AS clone_blocks FROM block JOIN in_dir USING (id) GROUP BY dir),
-       b AS (SELECT dir, count(*) AS unnamed FROM in_dir WHERE id NOT IN (SELECT dst FROM ref) GROUP BY dir)
-       SELECT dir, coalesce(clone_blocks, 0) AS clone_blocks, coalesce(unnamed, 0) AS unnamed FROM a FULL JOIN b USING (dir)""",
+       reach(id) AS (SELECT id FROM file WHERE role = 'entry' UNION SELECT live.dst FROM reach JOIN live ON live.src = reach.id),
+       b AS (SELECT dir, count(*) AS dead FROM in_dir WHERE id NOT IN (SELECT id FROM reach) GROUP BY dir)
+       SELECT dir, coalesce(clone_blocks, 0) AS clone_blocks, coalesce(dead, 0) AS dead FROM a FULL JOIN b USING (dir)""",
     facts=True,
 )
 def redundancy_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per directory, clone blocks (once per directory they touch) and files that nothing names.
+    """Per directory, clone blocks (once per directory they touch) and files that no entry reaches.
 
     A block has two members or more, however many.
     """
-    d = in_dir(files(spark, sf_dir))
+    f = files(spark, sf_dir)
+    d = in_dir(f)
     c = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("k"))
     blocks = c.join(c.groupBy("k").count().where("count >= 2").select("k"), "k", "left_semi")
     a = blocks.join(d, "id").groupBy("dir").agg(F.countDistinct("k").alias("clone_blocks"))
-    named = refs(spark, sf_dir).select(F.col("dst").alias("id"))
-    b = d.join(named, "id", "left_anti").groupBy("dir").agg(F.count("*").alias("unnamed"))
+    alive = graph.reach(live_refs(refs(spark, sf_dir)), f.where("role = 'entry'").select("id"))
+    b = d.join(alive, "id", "left_anti").groupBy("dir").agg(F.count("*").alias("dead"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return a.join(b, "dir", "full").select("dir", zero("clone_blocks"), zero("unnamed"))
+    return a.join(b, "dir", "full").select("dir", zero("clone_blocks"), zero("dead"))
 
 
 @query(

@@ -1,8 +1,8 @@
 """The fact tables that analyses of a source tree read, carried by the star schema.
 
-A part is a file: its brand, type and the words of its name are directories. A line item of a
-returned bulk order refers from its part to the part of the order's next line; the line number
-gives the reference's kind and rung. An order is a commit that touches the parts of its lines.
+A part is a file: its brand, type and the words of its name are directories. Every line item but
+the last of its order refers from its part to the part of the order's next line; the line number
+is the reference's rung and gives its kind. An order is a commit that touches the parts of its lines.
 ``FACTS_SQL`` states the same tables for a SQL engine.
 """
 
@@ -15,8 +15,6 @@ from loomery.sources.tables import table
 
 #: Kinds of references that keep nothing alive.
 INERT = ("asset", "refdef")
-KINDS = ("import", "doc_link", "asset", "refdef")
-BULK = 45.0
 
 FACTS_SQL = """
 file AS (
@@ -28,10 +26,9 @@ file AS (
 in_dir AS (SELECT id, regexp_replace(path, '/[^/]*$', '') AS dir FROM file),
 ref AS (
     SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst,
-           CASE a.l_linenumber % 4 WHEN 0 THEN 'import' WHEN 1 THEN 'doc_link' WHEN 2 THEN 'asset' ELSE 'refdef' END AS kind,
+           CASE WHEN a.l_linenumber >= 6 THEN 'import' WHEN a.l_linenumber = 5 THEN 'doc_link' WHEN a.l_linenumber % 2 = 0 THEN 'asset' ELSE 'refdef' END AS kind,
            a.l_linenumber AS rung
     FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-    WHERE a.l_returnflag = 'R' AND a.l_quantity >= 45
 ),
 live AS (SELECT DISTINCT src, dst FROM ref WHERE kind NOT IN ('asset', 'refdef'))
 """
@@ -52,12 +49,11 @@ def in_dir(file: DataFrame) -> DataFrame:
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst, kind, rung: distinct references. The filter goes first, so one side of the join is small."""
+    """src, dst, kind, rung: distinct references."""
     li = table(spark, sf_dir, "lineitem")
-    a = li.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= BULK))
-    a = a.select("l_orderkey", (F.col("l_linenumber") + 1).alias("next"), F.col("l_partkey").alias("src"), F.col("l_linenumber").alias("rung"))
+    a = li.select("l_orderkey", (F.col("l_linenumber") + 1).alias("next"), F.col("l_partkey").alias("src"), F.col("l_linenumber").alias("rung"))
     b = li.select("l_orderkey", F.col("l_linenumber").alias("next"), F.col("l_partkey").alias("dst"))
-    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("rung") % 4 + 1)
+    kind = F.when(F.col("rung") >= 6, "import").when(F.col("rung") == 5, "doc_link").when(F.col("rung") % 2 == 0, "asset").otherwise("refdef")
     return a.join(b, ["l_orderkey", "next"]).select("src", "dst", kind.alias("kind"), "rung").distinct()
 
 
