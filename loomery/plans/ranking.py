@@ -10,14 +10,14 @@ from loomery.plans.registry import query
 from loomery.sources.tables import table
 
 #: Channels of a unit's evidence and their weight in a query.
-CHANNELS = {"name": 3, "shape": 1}
+CHANNELS = {"name": 3, "callee": 2, "shape": 1}
 TOP = 5
 
 BAG = """bag AS (
     SELECT id, term, count(*) AS tf FROM (
         SELECT p_partkey AS id, 'name:' || unnest(string_split(lower(p_name), ' ')) AS term FROM part
         UNION ALL SELECT p_partkey, 'shape:' || unnest(string_split(lower(p_type), ' ')) FROM part
-        UNION ALL SELECT p_partkey, 'name:' || replace(lower(p_brand), '#', '') FROM part) GROUP BY id, term),
+        UNION ALL SELECT p_partkey, 'callee:' || replace(lower(p_brand), '#', '') FROM part) GROUP BY id, term),
 size AS (SELECT id, sum(tf)::BIGINT AS len FROM bag GROUP BY id),
 n AS (SELECT count(*) AS n, greatest(1, sum(len)::BIGINT // count(*)) AS avg FROM size),
 df AS (SELECT term, count(*) AS df FROM bag GROUP BY term),
@@ -29,7 +29,7 @@ def bags(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     of = lambda label, words: F.transform(words, lambda w: F.concat(F.lit(label + ":"), w))
     words = F.concat(
-        of("name", F.split(F.lower("p_name"), " ")), of("shape", F.split(F.lower("p_type"), " ")), of("name", F.array(F.regexp_replace(F.lower("p_brand"), "#", "")))
+        of("name", F.split(F.lower("p_name"), " ")), of("shape", F.split(F.lower("p_type"), " ")), of("callee", F.array(F.regexp_replace(F.lower("p_brand"), "#", "")))
     )
     return p.select(F.col("p_partkey").alias("id"), F.explode(words).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
@@ -49,14 +49,19 @@ def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics(bags(spark, sf_dir))[2]
 
 
-SCORED = """ask AS (SELECT id AS q, term, CASE WHEN term LIKE 'name:%' THEN 3 ELSE 1 END * tf * 256 AS w FROM bag WHERE id % 20 = 0),
+SCORED = """ask AS (SELECT id AS q, term, CASE WHEN term LIKE 'name:%' THEN 3 WHEN term LIKE 'callee:%' THEN 2 ELSE 1 END * tf * 256 AS w FROM bag WHERE id % 20 = 0),
 score AS (SELECT q, bag.id, sum(((w * idf * 22 * tf * avg)::HUGEINT * 65536 // (10 * tf * avg + 3 * avg + 9 * len))) AS score,
-                 count(*) FILTER (WHERE term LIKE 'name:%') AS n_name, count(*) FILTER (WHERE term LIKE 'shape:%') AS n_shape
+                 count(*) FILTER (WHERE term LIKE 'name:%') AS n_name, count(*) FILTER (WHERE term LIKE 'callee:%') AS n_callee, count(*) FILTER (WHERE term LIKE 'shape:%') AS n_shape
           FROM ask JOIN idf USING (term) JOIN bag USING (term) JOIN size USING (id), n WHERE idf > 0 AND bag.id <> q GROUP BY q, bag.id),
-top AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM score)"""
+top AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM score),
+shape AS (SELECT id, string_agg(term, ' ' ORDER BY term) AS shape FROM bag WHERE term LIKE 'shape:%' GROUP BY id)"""
 
 
-@query(f"WITH {BAG}, {SCORED} SELECT q, rank, id, score::BIGINT AS score, n_name, n_shape, n_name >= 2 AND n_shape >= 1 AS same_role FROM top WHERE rank <= 5")
+@query(
+    f"""WITH {BAG}, {SCORED} SELECT q, rank, top.id, score::BIGINT AS score, n_name, n_callee, n_shape,
+       (n_name >= 1 AND n_callee >= 1) OR (n_name >= 2 AND a.shape IS NOT DISTINCT FROM b.shape) AS same_role
+       FROM top LEFT JOIN shape a ON a.id = q LEFT JOIN shape b ON b.id = top.id WHERE rank <= 5"""
+)
 def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every twentieth part, the five parts that say most in the same words.
 
@@ -65,15 +70,24 @@ def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     bag = bags(spark, sf_dir)
     size, n, idf = statistics(bag)
-    weight = F.when(F.col("term").startswith("name:"), CHANNELS["name"]).otherwise(CHANNELS["shape"]) * F.col("tf") * 256
+    weight = F.coalesce(*[F.when(F.col("term").startswith(c + ":"), w) for c, w in CHANNELS.items()]) * F.col("tf") * 256
     ask = bag.where("id % 20 = 0").select(F.col("id").alias("q"), "term", weight.alias("w"))
     hit = ask.join(idf.where("idf > 0"), "term").join(bag, "term").where("id <> q").join(size, "id").join(F.broadcast(n))
     part = F.expr("cast(w * idf * 22 * tf * avg as decimal(38,0)) * 65536 div (10 * tf * avg + 3 * avg + 9 * len)").cast("decimal(28,0)")
     of = lambda c: F.count_if(F.col("term").startswith(c + ":")).alias(f"n_{c}")
-    score = hit.groupBy("q", "id").agg(F.sum(part).cast("long").alias("score"), of("name"), of("shape"))
+    score = hit.groupBy("q", "id").agg(F.sum(part).cast("long").alias("score"), *map(of, CHANNELS))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
     top = score.withColumn("rank", rank.cast("long")).where(F.col("rank") <= TOP)
-    return top.select("q", "rank", "id", "score", "n_name", "n_shape", ((F.col("n_name") >= 2) & (F.col("n_shape") >= 1)).alias("same_role"))
+    shape = shapes(bag)
+    top = top.join(shape, "id", "left").join(shape.select(F.col("id").alias("q"), F.col("shape").alias("asked")), "q", "left")
+    role = ((F.col("n_name") >= 1) & (F.col("n_callee") >= 1)) | ((F.col("n_name") >= 2) & F.col("shape").eqNullSafe(F.col("asked")))
+    return top.select("q", "rank", "id", "score", "n_name", "n_callee", "n_shape", role.alias("same_role"))
+
+
+def shapes(bag: DataFrame) -> DataFrame:
+    """id, shape: the sorted shape terms of each unit as one string; two units have one shape if these are equal."""
+    g = bag.where(F.col("term").startswith("shape:")).groupBy("id")
+    return g.agg(F.array_join(F.sort_array(F.collect_set("term")), " ").alias("shape"))
 
 
 PAIRS = """pair AS (SELECT a.term AS a, b.term AS b, count(*) AS n_ab FROM bag a JOIN bag b ON a.id = b.id AND a.term < b.term GROUP BY ALL),
@@ -94,20 +108,63 @@ def cooccurring_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair.join(df.select(F.col("term").alias("b"), F.col("df").alias("n_b")), "b").select("a", "b", "n_ab", "n_a", "n_b")
 
 
-@query(
-    f"""WITH {BAG}, {PAIRS}, e AS (SELECT a AS term, b AS near, n_ab, n_a, n_b, n FROM known UNION ALL SELECT b, a, n_ab, n_b, n_a, n FROM known),
-       r AS (SELECT term, near, n_ab, row_number() OVER (PARTITION BY term ORDER BY (n_ab * n)::DOUBLE / (n_a * n_b) DESC, near) AS rank
-             FROM e WHERE 4 * n_b <= n AND n_ab * n > n_a * n_b)
-       SELECT term, rank, near, n_ab FROM r WHERE rank <= 3"""
-)
-def ppmi_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each term the three terms most tied to it, by pointwise mutual information above 0."""
-    bag = bags(spark, sf_dir)
+NEAR = """e AS (SELECT a AS term, b AS near, n_ab, n_a, n_b, n FROM known UNION ALL SELECT b, a, n_ab, n_b, n_a, n FROM known)"""
+
+
+def neighbours(bag: DataFrame, where: str) -> DataFrame:
+    """term, rank, near, n_ab: for each term the three most tied to it by pointwise mutual information, of pairs ``where`` holds for.
+
+    Neighbours that more than a quarter of the units hold say nothing and are left out.
+    """
     df, n = bag.groupBy("term").agg(F.count("*").alias("df")), statistics(bag)[1]
     pair = cooccurrence(bag)
     both = pair.select(F.col("a").alias("term"), F.col("b").alias("near"), "n_ab").unionAll(pair.select("b", "a", "n_ab"))
     both = both.join(df.select("term", F.col("df").alias("n_a")), "term").join(df.select(F.col("term").alias("near"), F.col("df").alias("n_b")), "near")
-    both = both.join(F.broadcast(n)).where("4 * n_b <= n and n_ab * n > n_a * n_b")
+    both = both.join(F.broadcast(n)).where("4 * n_b <= n").where(where)
     lift = (F.col("n_ab") * F.col("n")).cast("double") / (F.col("n_a") * F.col("n_b"))
     rank = F.row_number().over(Window.partitionBy("term").orderBy(lift.desc(), "near"))
     return both.withColumn("rank", rank.cast("long")).where("rank <= 3").select("term", "rank", "near", "n_ab")
+
+
+@query(
+    f"""WITH {BAG}, {PAIRS}, {NEAR}, r AS (SELECT term, near, n_ab, row_number() OVER (PARTITION BY term ORDER BY (n_ab * n)::DOUBLE / (n_a * n_b) DESC, near) AS rank
+             FROM e WHERE 4 * n_b <= n AND n_ab * n >= 4 * n_a * n_b)
+       SELECT term, rank, near, n_ab FROM r WHERE rank <= 3"""
+)
+def ppmi_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of two bits or more."""
+    return neighbours(bags(spark, sf_dir), "n_ab * n >= 4 * n_a * n_b")
+
+
+@query(
+    f"""WITH {BAG}, {PAIRS}, {NEAR}, r AS (SELECT term, near, n_ab, row_number() OVER (PARTITION BY term ORDER BY (n_ab * n)::DOUBLE / (n_a * n_b) DESC, near) AS rank
+             FROM e WHERE 4 * n_b <= n AND n_ab * n > n_a * n_b)
+       SELECT term, rank, near, n_ab FROM r WHERE rank <= 3"""
+)
+def tied_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of more than no bits."""
+    return neighbours(bags(spark, sf_dir), "n_ab * n > n_a * n_b")
+
+
+@query(
+    """WITH now AS (SELECT p_partkey AS id, CASE WHEN p_size = 2 THEN lower(p_type) ELSE lower(p_name) END AS text FROM part WHERE p_size <> 1)
+       SELECT term, count(DISTINCT id) AS df FROM (SELECT id, unnest(string_split(text, ' ')) AS term FROM now) GROUP BY term"""
+)
+def maintained_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document frequencies kept by signed changes; the SQL counts the new state anew.
+
+    Stored are those of all parts below size 40. Then those of size 1 go, those of size 2 are
+    rewritten, and those of 40 and more come.
+    """
+    p = table(spark, sf_dir, "part")
+    of = lambda d, text: d.select(F.explode(F.array_distinct(F.split(F.lower(text), " "))).alias("term"))
+    stored = of(p.where("p_size < 40"), "p_name").groupBy("term").agg(F.count("*").alias("df"))
+    gone = of(p.where("p_size in (1, 2)"), "p_name").withColumn("df", F.lit(-1).cast("long"))
+    new = of(p.where("p_size = 2"), "p_type").unionAll(of(p.where("p_size >= 40"), "p_name")).withColumn("df", F.lit(1).cast("long"))
+    return upkeep(stored, gone.unionAll(new))
+
+
+def upkeep(stored: DataFrame, changes: DataFrame) -> DataFrame:
+    """term, df after signed changes; a term that nothing holds any more is dropped."""
+    delta = changes.groupBy("term").agg(F.sum("df").alias("df"))
+    return stored.unionByName(delta).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
