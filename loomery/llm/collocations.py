@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomery.llm.bits import bit_map, holds
+from loomery.llm.bits import holds
 from loomery.llm.common import map_arrow, maybe_broadcast, store, whole_text
 from loomery.llm.words import Memo
 
@@ -43,8 +43,12 @@ ALIKE = bytes.maketrans(CAPITALS + BORDERS + b"\t", CAPITALS.lower() + b"." * le
 LONGEST, LEAST, COVERED, TOP = 3, 10, 50, 2000
 #: log2 of the buckets of a sketch: one for each word, between these bounds (the larger is a bit map of 32 MB).
 MIN_BITS, MAX_BITS = 16, 28
+NOTHING, GUARD = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+#: Buckets whose sums are added together.
+RANGE_BITS = 16
+RANGE = 1 << RANGE_BITS
 #: Tokens of a shard.
-SHARD = 1 << 17
+SHARD = 1 << 18
 #: Parts a language's rows are ranked in before the best of each part are ranked together.
 SPREAD = 64
 
@@ -61,11 +65,12 @@ class Stream:
     def __init__(self, texts: list[str], lang: str, memo: Memo):
         joined = b" . ".join(t.encode() for t in texts).translate(ALIKE).replace(b".", b" . ")
         tokens = pc.ascii_split_whitespace(pa.array([joined], pa.large_binary()).view(pa.large_string())).flatten().dictionary_encode()
+        self.codes, self.words = tokens.indices.to_numpy(zero_copy_only=False), tokens.dictionary
+        self.names = names = self.words.to_numpy(zero_copy_only=False).tolist()
         # Splitting leaves an empty token at a blank beginning or end: a border like any other.
-        self.codes, self.words = tokens.indices.to_numpy(zero_copy_only=False), tokens.dictionary.to_pylist()
-        self.real = np.array([w not in (".", "") for w in self.words], bool)[self.codes] if self.words else np.zeros(0, bool)
+        self.real = np.array([w not in (".", "") for w in names], bool)[self.codes] if names else np.zeros(0, bool)
         seed = np.uint64(xxhash.xxh3_64_intdigest(lang))
-        hashes = _mix(np.array(memo(self.words), np.uint64) ^ seed) if self.words else np.zeros(0, np.uint64)
+        hashes = _mix(np.array(memo(names), np.uint64) ^ seed) if names else np.zeros(0, np.uint64)
         self.hash = hashes[self.codes]
 
     def buckets(self, length: int, bits: int) -> np.ndarray:
@@ -90,12 +95,11 @@ class Stream:
         return out
 
 
-def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str]]]:
-    for b in batches:
-        groups: dict[str, list[str]] = {}
-        for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-            groups.setdefault(lang, []).append(text)
-        yield from groups.items()
+def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str]]]:
+    groups: dict[str, list[str]] = {}
+    for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+        groups.setdefault(lang, []).append(text)
+    yield from groups.items()
 
 
 def _word_memo() -> Memo:
@@ -103,54 +107,81 @@ def _word_memo() -> Memo:
 
 
 def _sketch(docs: DataFrame, length: int, maps: list[np.ndarray], bits: int, least: int) -> np.ndarray:
-    """The buckets of phrases of that length that come to ``least``."""
+    """The buckets of phrases of that length that come to ``least``, as a bit map.
+
+    A batch of texts sends, for each range of buckets, which of them it has and how often, as
+    planes of bytes: sorted distances are small, and counts that are enough by themselves end at
+    ``least``. A range's sums are dense, so adding needs the memory of one range.
+    """
     held = docs.sparkSession.sparkContext.broadcast(maps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _word_memo()
-        for lang, texts in _by_lang(batches):
-            stream = Stream(texts, lang, memo)
-            enters = stream.passing(held.value, bits)[-1]
-            bucket, n = np.unique(stream.buckets(length, bits)[enters], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(n, pa.int64())], ["bucket", "n"])
-
-    sums = map_arrow(docs, run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    found = bit_map(sums.where(F.col("n") >= least), bits)
+        for b in batches:
+            parts = []
+            for lang, texts in _by_lang(b):
+                stream = Stream(texts, lang, memo)
+                parts.append(stream.buckets(length, bits)[stream.passing(held.value, bits)[-1]])
+            bucket, n = np.unique(np.concatenate(parts), return_counts=True)
+            n = np.minimum(n, least).astype("<u4")
+            gap = np.diff(bucket & RANGE - 1, prepend=0).astype("<i4")
+            cuts = np.flatnonzero(np.diff(bucket >> RANGE_BITS, prepend=-1))
+            gap[cuts] = bucket[cuts] & RANGE - 1
+            ends = [*cuts[1:].tolist(), len(bucket)]
+            planes = [gap[x:y].tobytes() + n[x:y].tobytes() for x, y in zip(cuts.tolist(), ends)]
+            planes = [np.frombuffer(p, np.uint8).reshape(-1, 4).T.tobytes() for p in planes]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts] >> RANGE_BITS, pa.int64()), pa.array(planes, pa.binary())], ["range", "planes"])
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RANGE, np.int64)
+        for b in batches:
+            for planes in b.column("planes").to_pylist():
+                gap, n = np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<i4").reshape(2, -1)
+                total[np.cumsum(gap)] += n
+        passed = np.packbits(total >= least, bitorder="little").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([passed], pa.binary())], ["range", "passed"])
+
+    sent = map_arrow(docs, run, "range long, planes binary")
+    out = np.zeros((max(1, 1 << bits - RANGE_BITS), RANGE // 64), np.uint64)
+    for r in sent.groupBy("range").applyInArrow(add, "range long, passed binary").toArrow().to_pylist():
+        out[r["range"]] = np.frombuffer(r["passed"], np.uint64)
     held.unpersist()
-    return found
+    return out.reshape(-1)
 
 
-def _count_shard(stream: Stream, first: int, starts: list[np.ndarray]) -> tuple[list[str], list[int]]:
-    """Phrases that begin in the shard from token ``first`` on, and how often each does."""
+def _count_shard(stream: Stream, first: int, starts: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
+    """Candidates (phrases of more than one word) that begin in the shard from token ``first`` on, and how often each does."""
     end = min(first + SHARD, len(stream.codes))
-    upto = min(end + LONGEST - 1, len(stream.codes))
-    words, codes = stream.words, stream.codes[first:upto].tolist()
-    automaton, phrases = ahocorasick.Automaton(), []
-    for length in range(1, LONGEST + 1):
+    words, codes = stream.words, stream.codes[first : min(end + LONGEST - 1, len(stream.codes))]
+    guarded = []
+    for length in range(2, LONGEST + 1):
         at = np.flatnonzero(starts[length - 1][first:end])
-        for i in at[_firsts(stream, first + at, length)].tolist():
-            phrase = " ".join([words[c] for c in codes[i : i + length]])
-            automaton.add_word(f" {phrase} ", len(phrases))
-            phrases.append(phrase)
-    if not phrases:
-        return [], []
+        at = at[_firsts(stream, first + at, length)]
+        own = [words.take(pa.array(codes[at + j])) for j in range(length)]
+        guarded.append(pc.binary_join_element_wise(NOTHING, *own, NOTHING, GUARD))
+    guarded = pa.concat_arrays(guarded)
+    if not len(guarded):
+        return guarded, np.zeros(0, np.int64)
+    automaton, patterns = ahocorasick.Automaton(), guarded.to_numpy(zero_copy_only=False).tolist()
+    for i, p in enumerate(patterns):
+        automaton.add_word(p, i)
     automaton.make_automaton()
-    text = " " + " ".join([words[c] for c in codes]) + " "
-    limit = sum(len(words[c]) + 1 for c in codes[: end - first])
-    found = np.fromiter(chain.from_iterable(automaton.iter(text)), np.int64).reshape(-1, 2)
-    wide = np.fromiter(map(len, phrases), np.int64, len(phrases)) + 2
+    tokens = [stream.names[c] for c in codes.tolist()]
+    limit = sum(map(len, tokens[: end - first])) + end - first
+    found = np.fromiter(chain.from_iterable(automaton.iter(" " + " ".join(tokens) + " ")), np.int64).reshape(-1, 2)
+    wide = np.fromiter(map(len, patterns), np.int64, len(patterns))
     own = found[found[:, 0] - wide[found[:, 1]] + 1 < limit, 1]
-    return phrases, np.bincount(own, minlength=len(phrases)).tolist()
+    return pc.utf8_slice_codeunits(guarded, 1, -1), np.bincount(own, minlength=len(patterns))
 
 
 def _firsts(stream: Stream, at: np.ndarray, length: int) -> np.ndarray:
     """Places in ``at`` of the first of each distinct phrase."""
     if not len(at):
         return np.zeros(0, np.int64)
-    key = np.zeros(len(at), np.int64)
-    for j in range(length):
+    key = stream.codes[at].astype(np.int64)
+    for j in range(1, length):
         # Codes of phrases so far, made dense: no product can overflow.
-        key = np.unique(key * len(stream.words) + stream.codes[at + j], return_inverse=True)[1]
+        key = (np.unique(key, return_inverse=True)[1] if j > 1 else key) * len(stream.words) + stream.codes[at + j]
     return np.unique(key, return_index=True)[1]
 
 
@@ -169,19 +200,23 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, lang_col: str = "lang", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _word_memo()
-        for lang, texts in _by_lang(batches):
-            stream = Stream(texts, lang, memo)
-            starts = stream.passing(held.value, bits)[:LONGEST]
-            yield _rows(lang, [""], [int(stream.real.sum())])
-            for first in range(0, len(stream.codes), SHARD):
-                yield _rows(lang, *_count_shard(stream, first, starts))
+        for b in batches:
+            for lang, texts in _by_lang(b):
+                stream = Stream(texts, lang, memo)
+                starts = stream.passing(held.value, bits)[:LONGEST]
+                yield _rows(lang, pa.array([""], pa.large_string()), np.array([stream.real.sum()]))
+                # Single words are parts, no candidates: the codes count them.
+                n = np.bincount(stream.codes[starts[0]], minlength=len(stream.words))
+                yield _rows(lang, stream.words.filter(pa.array(n > 0)), n[n > 0])
+                for first in range(0, len(stream.codes), SHARD):
+                    yield _rows(lang, *_count_shard(stream, first, starts))
 
     sums = map_arrow(plain, run, "lang string, phrase string, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
     return store(sums.where((F.col("a") >= least) | (F.col("phrase") == "")), "phrase-counts")
 
 
-def _rows(lang: str, phrases: list[str], n: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "a"])
+def _rows(lang: str, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(phrases)), phrases.cast(pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "a"])
 
 
 def _cut(phrases: DataFrame, counts: DataFrame, k: int) -> DataFrame:

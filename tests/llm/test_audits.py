@@ -272,12 +272,13 @@ def test_shards_count_what_begins_in_them(monkeypatch, shard):
     starts = [stream.real, stream.real[:-1] & stream.real[1:], stream.real[:-2] & stream.real[1:-1] & stream.real[2:]]
     got = Counter()
     for first in range(0, len(stream.codes), shard):
-        got.update(dict(zip(*collocations._count_shard(stream, first, starts))))
+        phrases, n = collocations._count_shard(stream, first, starts)
+        got.update(dict(zip(phrases.to_pylist(), n.tolist())))
     want = Counter()
     for t in texts:
         for piece in t.split("."):
             w = piece.split()
-            for k in (1, 2, 3):
+            for k in (2, 3):
                 want.update(" ".join(w[i : i + k]) for i in range(len(w) - k + 1))
     assert +got == want
 
