@@ -143,12 +143,19 @@ def _colours(edges: DataFrame) -> DataFrame:
 
 
 def levels(edges: DataFrame) -> DataFrame:
-    """id, level of an acyclic graph: the longest path that leads from a node; sinks are 0."""
+    """id, level of an acyclic graph: the longest path that leads from a node; sinks are 0.
+
+    A round takes what leads only to nodes that are taken already, so each node is written once.
+    """
     step, rounds = settled(edges.select("src", "dst").distinct()), Rounds(edges.sparkSession)
-    front = rounds.add(step.select(F.col("src").alias("id")).union(step.select("dst")).distinct().withColumn("level", F.lit(0)))
+    nodes = settled(step.select(F.col("src").alias("id")).union(step.select("dst")).distinct())
+    front = rounds.add(nodes.join(step.select(F.col("src").alias("id")), "id", "left_anti").withColumn("level", F.lit(0)))
     for level in range(1, MAX_ROUNDS):
-        up = step.join(front.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id")).distinct()
-        front = rounds.add(up.withColumn("level", F.lit(level)))
         if front.isEmpty():
-            return rounds.all().groupBy("id").agg(F.max("level").alias("level"))
-    raise RuntimeError("the graph has a cycle or is deeper than MAX_ROUNDS")
+            if rounds.all().count() < nodes.count():
+                raise RuntimeError("the graph has a cycle")
+            return rounds.all()
+        near = step.join(front.select(F.col("id").alias("dst")), "dst", "left_semi").select("src").distinct()
+        waits = step.join(near, "src", "left_semi").join(rounds.all().select(F.col("id").alias("dst")), "dst", "left_anti").select("src")
+        front = rounds.add(near.join(waits, "src", "left_anti").select(F.col("src").alias("id"), F.lit(level).alias("level")))
+    raise RuntimeError("the graph is deeper than MAX_ROUNDS")
