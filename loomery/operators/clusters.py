@@ -17,11 +17,13 @@ from loomery.session import settled
 REFINE = 6
 
 
-def _moved(edges: DataFrame, node: DataFrame, m: int) -> tuple[DataFrame, int]:
-    """(id, k, cluster after one round of moves, how many moved). ``edges`` have both directions.
+def _moved(edges: DataFrame, node: DataFrame, m: int, turn: int) -> tuple[DataFrame, bool]:
+    """(id, k, cluster after one round of moves, whether any move gains). ``edges`` have both directions.
 
-    Every node names its best move. Of the moves that touch a cluster only the best is made, so no
-    two moves of a round share one; their gains then add up and modularity cannot fall.
+    A hash of cluster and turn halves the clusters: nodes leave those of one half for those of the
+    other, each by its best move. Others that enter the same cluster or leave the same one first
+    cost a move at most its k times theirs, so a move is made if it gains even after all of them,
+    or if it is the best on both sides and made before them. Modularity cannot fall.
     """
     size = node.groupBy("cluster").agg(F.sum("k").alias("total"))
     own = edges.join(node.select(F.col("id").alias("dst"), F.col("cluster").alias("to")), "dst").groupBy(F.col("src").alias("id"), "to").agg(F.sum("w").alias("w"))
@@ -32,14 +34,19 @@ def _moved(edges: DataFrame, node: DataFrame, m: int) -> tuple[DataFrame, int]:
     tries = tries.join(size.select(F.col("cluster").alias("to"), F.col("total").alias("to_total")), "to")
     gain = (whole("w") - whole("inside")) * (2 * m) - whole("k") * (whole("to_total") - whole("from_total") + whole("k"))
     tries = tries.withColumn("gain", gain.cast("decimal(38,0)")).where("gain > 0")
-    best = tries.groupBy("id", "cluster").agg(F.max_by("to", F.struct("gain", "to")).alias("to"), F.max("gain").alias("gain"))
-    best = settled(best, "moves")
-    touched = best.select(F.explode(F.array("cluster", "to")).alias("c"), F.struct("gain", "id").alias("move")).groupBy("c").agg(F.max("move").alias("top"))
-    top = settled(touched.select("c", F.col("top.id").alias("id")), "moves")
-    made = best.join(top.select("id", F.col("c").alias("cluster")), ["id", "cluster"], "left_semi").join(top.select("id", F.col("c").alias("to")), ["id", "to"], "left_semi")
-    made = settled(made.select("id", "to"), "moves")
-    after = node.join(made, "id", "left").select("id", "k", F.coalesce("to", "cluster").alias("cluster"))
-    return settled(after, "clusters"), made.count()
+    half = lambda c: F.xxhash64(c, F.lit(turn)).bitwiseAND(F.lit(1))
+    open_ = (half("cluster") == 0) & (half("to") == 1)
+    move = F.max(F.when(open_, F.struct("gain", "to"))).alias("best")
+    best = settled(tries.groupBy("id", "cluster", "k").agg(move).select("id", "cluster", "k", F.col("best.to").alias("to"), F.col("best.gain").alias("gain")), "moves")
+    asked = best.where("to is not null")
+    sides = asked.select(F.explode(F.array("cluster", "to")).alias("c"), "k", F.struct("gain", "id").alias("move"))
+    sides = settled(sides.groupBy("c").agg(F.sum("k").alias("all"), F.max("move").alias("top")).select("c", "all", F.col("top.id").alias("top")), "moves")
+    out, into = (sides.select(F.col("c").alias(c), F.col("all").alias(f"all_{c}"), F.col("top").alias(f"top_{c}")) for c in ("cluster", "to"))
+    rated = asked.join(out, "cluster").join(into, "to")
+    after = F.col("gain") - whole("k") * (whole("all_cluster") + whole("all_to") - whole("k") * 2)
+    made = rated.where((after > 0) | ((F.col("top_cluster") == F.col("id")) & (F.col("top_to") == F.col("id")))).select("id", "to")
+    done = node.join(made, "id", "left").select("id", "k", F.coalesce("to", "cluster").alias("cluster"))
+    return settled(done, "clusters"), not best.isEmpty()
 
 
 def clusters(edges: DataFrame) -> DataFrame:
@@ -56,9 +63,9 @@ def clusters(edges: DataFrame) -> DataFrame:
     degree = settled(flat.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")), "cluster-nodes")
     named = degree.select("id", F.col("id").alias("cluster"))
     level, node = flat, degree.select("id", "k", F.col("id").alias("cluster"))
-    for _ in range(graph.MAX_ROUNDS):
-        node, made = _moved(level.where("src <> dst"), node, m)
-        if not made:
+    for turn in range(graph.MAX_ROUNDS):
+        node, gains = _moved(level.where("src <> dst"), node, m, turn)
+        if not gains:
             break
         named = settled(named.join(node.select(F.col("id").alias("cluster"), F.col("cluster").alias("now")), "cluster").select("id", F.col("now").alias("cluster")), "clusters")
         of = node.select("id", "cluster")
@@ -66,9 +73,9 @@ def clusters(edges: DataFrame) -> DataFrame:
         level = settled(level.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")), "cluster-edges")
         node = settled(node.groupBy(F.col("cluster").alias("id")).agg(F.sum("k").alias("k")).withColumn("cluster", F.col("id")), "cluster-nodes")
     node = degree.join(named, "id")
-    for _ in range(REFINE):
-        node, made = _moved(flat.where("src <> dst"), node, m)
-        if not made:
+    for turn in range(REFINE):
+        node, gains = _moved(flat.where("src <> dst"), node, m, turn)
+        if not gains:
             break
     first = node.groupBy("cluster").agg(F.min("id").alias("first"))
     return settled(node.join(first, "cluster").select("id", F.col("first").alias("cluster")), "clusters")
