@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomery.plans.pages import PAGES, links, targets
 from loomery.plans.registry import query
 from loomery.plans.structure import PLACED, directories, ref_participation
 from loomery.sources.facts import files, in_dir, live_refs, refs
+from loomery.sources.tables import table
 
 #: Soft and hard line of a directory's size, in lines.
 SOFT, HARD = 200, 450
@@ -16,17 +18,31 @@ ALLOWED = {"size": 2, "deadcode": 1, "clone": 3}
 
 
 @query(
-    """WITH e AS (SELECT src AS id, 0 AS held, 0 AS asset FROM ref UNION ALL SELECT dst, 1, CASE WHEN kind = 'asset' THEN 1 ELSE 0 END FROM ref UNION ALL SELECT id, 0, 0 FROM file)
-       SELECT id, sum(held)::BIGINT AS n_refs, sum(held) > 0 AND sum(held) = sum(asset) AS asset FROM e GROUP BY id""",
+    """WITH e AS (SELECT src AS id, 0 AS n FROM ref UNION ALL SELECT dst, 1 FROM ref UNION ALL SELECT id, 0 FROM file)
+       SELECT id, sum(n)::BIGINT AS n_refs, id NOT IN (SELECT id FROM file) AS asset FROM e GROUP BY id""",
     facts=True,
 )
 def node_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every file and end of a reference, how often it is referenced, and whether only as an asset."""
-    r, none = refs(spark, sf_dir), F.lit(0)
-    e = r.select(F.col("dst").alias("id"), F.lit(1).alias("held"), (F.col("kind") == "asset").cast("int").alias("asset"))
-    e = e.unionAll(r.select("src", none, none)).unionAll(files(spark, sf_dir).select("id", none, none))
-    g = e.groupBy("id").agg(F.sum("held").alias("n_refs"), F.sum("asset").alias("n_asset"))
-    return g.select("id", "n_refs", ((F.col("n_refs") > 0) & (F.col("n_refs") == F.col("n_asset"))).alias("asset"))
+    """Every file and end of a reference, how often it is referenced, and whether it is an asset: a target that no file is."""
+    r, f, none = refs(spark, sf_dir), files(spark, sf_dir).select("id"), F.lit(0)
+    e = r.select(F.col("dst").alias("id"), F.lit(1).alias("n"), none.alias("held")).unionAll(r.select("src", none, none)).unionAll(f.select("id", none, F.lit(1)))
+    return e.groupBy("id").agg(F.sum("n").alias("n_refs"), (F.max("held") == 0).alias("asset"))
+
+
+@query(
+    f"""WITH {PAGES}, t AS (SELECT host, regexp_replace(href, '[?#].*$', '') AS path, 1 AS n, 0 AS held FROM link JOIN page USING (page_id) WHERE href LIKE '/%'),
+       e AS (SELECT * FROM t UNION ALL SELECT host, path, 0, 1 FROM page)
+       SELECT host, path, sum(n)::BIGINT AS n_refs, max(held) = 1 AS held, path LIKE '%/' AS package, max(held) = 0 AND path NOT LIKE '%/' AS asset FROM e GROUP BY host, path"""
+)
+def link_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and the targets of their links: a target that no page is is an asset, unless it names a directory."""
+    pages = table(spark, sf_dir, "pages")
+    own = targets(pages)
+    t = links(pages).where(F.col("href").startswith("/")).join(own.select("page_id", "host"), "page_id")
+    t = t.select("host", F.regexp_replace("href", "[?#].*$", "").alias("path"), F.lit(1).alias("n"), F.lit(0).alias("held"))
+    g = t.unionByName(own.select("host", "path", F.lit(0).alias("n"), F.lit(1).alias("held"))).groupBy("host", "path").agg(F.sum("n").alias("n_refs"), (F.max("held") == 1).alias("held"))
+    package = F.col("path").endswith("/")
+    return g.select("host", "path", "n_refs", "held", package.alias("package"), (~F.col("held") & ~package).alias("asset"))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,13 +40,13 @@ def stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH s AS (SELECT conv_id, turn, len(regexp_extract_all(coalesce(text, ''), '[.!?]+(\s|\z)')) AS ended, regexp_matches(coalesce(text, ''), '[^.!?\s]\s*\z') AS open FROM conversations)
+    r"""WITH s AS (SELECT conv_id, turn, len(regexp_extract_all(coalesce(text, ''), '[.!?;]+(\s|\z)|[。！？；]+')) AS ended, regexp_matches(coalesce(text, ''), '[^.!?;。！？；\s]\s*\z') AS open FROM conversations)
        SELECT conv_id, turn, (ended + CASE WHEN open THEN 1 ELSE 0 END)::BIGINT AS n FROM s"""
 )
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences per turn: they end at a terminator before white space or the end, never inside a name."""
     text = F.coalesce("text", F.lit(""))
-    n = F.regexp_count(text, F.lit(r"[.!?]+(\s|\z)")) + F.when(text.rlike(r"[^.!?\s]\s*\z"), 1).otherwise(0)
+    n = F.regexp_count(text, F.lit(r"[.!?;]+(\s|\z)|[。！？；]+")) + F.when(text.rlike(r"[^.!?;。！？；\s]\s*\z"), 1).otherwise(0)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", n.cast("long").alias("n"))
 
 
@@ -64,13 +64,19 @@ def word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH doc AS (SELECT DISTINCT unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM documents)
-       SELECT name, len(regexp_extract_all(name, '[A-Z]+[a-z0-9]*|[a-z0-9]+'))::BIGINT AS n FROM doc"""
+    r"""WITH doc AS (SELECT DISTINCT unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM documents)
+       SELECT name, len(regexp_extract_all(regexp_replace(name, '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '[A-Z]+[a-z0-9]*|[a-z0-9]+'))::BIGINT AS n FROM doc"""
 )
 def name_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of each name that a document spells: cut at underscores and capitals, a run of capitals is one."""
     names = mentions(table(spark, sf_dir, "documents"), "doc_id").select("name").distinct()
-    return names.select("name", F.regexp_count("name", F.lit("[A-Z]+[a-z0-9]*|[a-z0-9]+")).cast("long").alias("n"))
+    return names.select("name", segment_count(F.col("name")).cast("long").alias("n"))
+
+
+def segment_count(name: Column) -> Column:
+    """The last capital of a run begins the next segment if a small letter follows it."""
+    cut = F.regexp_replace(name, "([A-Z])([A-Z][a-z])", "$1 $2")
+    return F.regexp_count(cut, F.lit("[A-Z]+[a-z0-9]*|[a-z0-9]+"))
 
 
 @query(

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomery.plans.registry import query
+from loomery.session import settled
 from loomery.sources.tables import table
 
-#: Channels of a unit's evidence and their weight in a query.
+# Channels of a unit's evidence with their weight in a query; 256, 22, 10, 3, 9 and 65536 below scale and weigh.
 CHANNELS = {"name": 3, "callee": 2, "shape": 1}
 TOP = 5
 
@@ -68,20 +69,47 @@ def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     Contributions are whole numbers, divided term by term before they are summed, so the order of
     the sum cannot matter. Terms that half the parts have score nothing and are left out before the join.
     """
-    bag = bags(spark, sf_dir)
+    return best_matches(bags(spark, sf_dir), F.col("id") % 20 == 0)
+
+
+def kinds_of_bags(bag: DataFrame) -> DataFrame:
+    """id, kind: units of equal bags are of one kind, named by the smallest id."""
+    g = bag.groupBy("id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("term", "tf")))).alias("form"))
+    g = settled(g, "bags")
+    return settled(g.join(g.groupBy("form").agg(F.min("id").alias("kind")), "form").select("id", "kind"), "kinds")
+
+
+def best_matches(bag: DataFrame, asks: Column, top: int = TOP) -> DataFrame:
+    """q, rank, id and scores: for every unit that ``asks`` holds for, the ``top`` units that say most in the same words.
+
+    A score depends on the two bags alone, so bags are scored, not units: the work grows with the
+    number of different bags. Each of the best ``top + 1`` bags (by score, then smallest id) has at
+    least one unit, so no unit of another bag can be among the best ``top``, the asker left out.
+    """
+    bag = settled(bag, "bags")
     size, n, idf = statistics(bag)
+    of_unit = kinds_of_bags(bag)
+    own = bag.join(of_unit.where("id = kind").select("id"), "id", "left_semi")
+    asked = settled(of_unit.where(asks).select(F.col("id").alias("q"), F.col("kind").alias("q_kind")), "asked")
     weight = F.coalesce(*[F.when(F.col("term").startswith(c + ":"), w) for c, w in CHANNELS.items()]) * F.col("tf") * 256
-    ask = bag.where("id % 20 = 0").select(F.col("id").alias("q"), "term", weight.alias("w"))
-    hit = ask.join(idf.where("idf > 0"), "term").join(bag, "term").where("id <> q").join(size, "id").join(F.broadcast(n))
-    part = F.expr("cast(w * idf * 22 * tf * avg as decimal(38,0)) * 65536 div (10 * tf * avg + 3 * avg + 9 * len)").cast("decimal(28,0)")
+    ask = own.join(asked.select(F.col("q_kind").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("q_kind"), "term", weight.alias("w"))
+    ask = settled(ask.join(idf.where("idf > 0"), "term").join(F.broadcast(n)).select("q_kind", "term", F.expr("cast(w as bigint) * idf * 22 * avg * 65536").alias("w")), "asked")
+    # Of a posting, what is the same for every question: its tf, and the divisor.
+    posts = settled(own.join(size, "id").join(F.broadcast(n)).select("id", "term", "tf", F.expr("10 * tf * avg + 3 * avg + 9 * len").alias("over")), "postings")
+    # 64 bits; what passes them is an error and no wrong score.
+    part = F.expr("(w * tf) div over")
     of = lambda c: F.count_if(F.col("term").startswith(c + ":")).alias(f"n_{c}")
-    score = hit.groupBy("q", "id").agg(F.sum(part).cast("long").alias("score"), *map(of, CHANNELS))
+    score = ask.join(posts, "term").groupBy("q_kind", "id").agg(F.sum(part).alias("score"), *map(of, CHANNELS))
+    by_score = Window.partitionBy("q_kind").orderBy(F.desc("score"), "id")
+    best = settled(score.withColumn("at", F.row_number().over(by_score)).where(F.col("at") <= top + 1).drop("at").withColumnRenamed("id", "kind"), "best")
+    few = of_unit.withColumn("at", F.row_number().over(Window.partitionBy("kind").orderBy("id"))).where(F.col("at") <= top + 1).drop("at")
+    hit = asked.join(best, "q_kind").join(few, "kind").where("id <> q")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
-    top = score.withColumn("rank", rank.cast("long")).where(F.col("rank") <= TOP)
-    shape = shapes(bag)
-    top = top.join(shape, "id", "left").join(shape.select(F.col("id").alias("q"), F.col("shape").alias("asked")), "q", "left")
+    hit = hit.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top)
+    shape = shapes(own).withColumnRenamed("id", "kind")
+    hit = hit.join(shape, "kind", "left").join(shape.select(F.col("kind").alias("q_kind"), F.col("shape").alias("asked")), "q_kind", "left")
     role = ((F.col("n_name") >= 1) & (F.col("n_callee") >= 1)) | ((F.col("n_name") >= 2) & F.col("shape").eqNullSafe(F.col("asked")))
-    return top.select("q", "rank", "id", "score", "n_name", "n_callee", "n_shape", role.alias("same_role"))
+    return hit.select("q", "rank", "id", "score", "n_name", "n_callee", "n_shape", role.alias("same_role"))
 
 
 def shapes(bag: DataFrame) -> DataFrame:
