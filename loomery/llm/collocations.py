@@ -44,9 +44,8 @@ LONGEST, LEAST, COVERED, TOP = 3, 10, 50, 2000
 #: log2 of the buckets of a sketch: one for each word, between these bounds (the larger is a bit map of 32 MB).
 MIN_BITS, MAX_BITS = 16, 28
 NOTHING, GUARD = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
-#: Buckets whose sums are added together.
-RANGE_BITS = 16
-RANGE = 1 << RANGE_BITS
+#: log2 of the number of ranges of buckets that are added apart, and phrases that a task gathers before it sends them.
+RANGES_BITS, SENT = 8, 1 << 21
 #: Tokens of a shard.
 SHARD = 1 << 18
 #: Parts a language's rows are ranked in before the best of each part are ranked together.
@@ -109,31 +108,40 @@ def _word_memo() -> Memo:
 def _sketch(docs: DataFrame, length: int, maps: list[np.ndarray], bits: int, least: int) -> np.ndarray:
     """The buckets of phrases of that length that come to ``least``, as a bit map.
 
-    A batch of texts sends, for each range of buckets, which of them it has and how often, as
-    planes of bytes: sorted distances are small, and counts that are enough by themselves end at
-    ``least``. A range's sums are dense, so adding needs the memory of one range.
+    Every few million phrases a task sends, for each range of buckets, which of them it has and how
+    often, as planes of bytes: sorted distances are small, and counts that are enough by themselves
+    end at ``least``. A range's sums are dense, so adding needs the memory of one range.
     """
     held = docs.sparkSession.sparkContext.broadcast(maps)
 
+    range_bits = max(6, bits - RANGES_BITS)
+    size = 1 << range_bits
+
+    def send(parts: list[np.ndarray]) -> pa.RecordBatch:
+        bucket, n = np.unique(np.concatenate(parts), return_counts=True)
+        n = np.minimum(n, least).astype("<u4")
+        gap = np.diff(bucket & size - 1, prepend=0).astype("<i4")
+        cuts = np.flatnonzero(np.diff(bucket >> range_bits, prepend=-1))
+        gap[cuts] = bucket[cuts] & size - 1
+        ends = [*cuts[1:].tolist(), len(bucket)]
+        planes = [gap[x:y].tobytes() + n[x:y].tobytes() for x, y in zip(cuts.tolist(), ends)]
+        planes = [np.frombuffer(p, np.uint8).reshape(-1, 4).T.tobytes() for p in planes]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts] >> range_bits, pa.int64()), pa.array(planes, pa.binary())], ["range", "planes"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _word_memo()
+        memo, parts = _word_memo(), []
         for b in batches:
-            parts = []
             for lang, texts in _by_lang(b):
                 stream = Stream(texts, lang, memo)
                 parts.append(stream.buckets(length, bits)[stream.passing(held.value, bits)[-1]])
-            bucket, n = np.unique(np.concatenate(parts), return_counts=True)
-            n = np.minimum(n, least).astype("<u4")
-            gap = np.diff(bucket & RANGE - 1, prepend=0).astype("<i4")
-            cuts = np.flatnonzero(np.diff(bucket >> RANGE_BITS, prepend=-1))
-            gap[cuts] = bucket[cuts] & RANGE - 1
-            ends = [*cuts[1:].tolist(), len(bucket)]
-            planes = [gap[x:y].tobytes() + n[x:y].tobytes() for x, y in zip(cuts.tolist(), ends)]
-            planes = [np.frombuffer(p, np.uint8).reshape(-1, 4).T.tobytes() for p in planes]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts] >> RANGE_BITS, pa.int64()), pa.array(planes, pa.binary())], ["range", "planes"])
+                if sum(map(len, parts)) >= SENT:
+                    yield send(parts)
+                    parts = []
+        if parts:
+            yield send(parts)
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(RANGE, np.int64)
+        total = np.zeros(size, np.int64)
         for b in batches:
             for planes in b.column("planes").to_pylist():
                 gap, n = np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<i4").reshape(2, -1)
@@ -142,7 +150,7 @@ def _sketch(docs: DataFrame, length: int, maps: list[np.ndarray], bits: int, lea
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([passed], pa.binary())], ["range", "passed"])
 
     sent = map_arrow(docs, run, "range long, planes binary")
-    out = np.zeros((max(1, 1 << bits - RANGE_BITS), RANGE // 64), np.uint64)
+    out = np.zeros((1 << bits - range_bits, size // 64), np.uint64)
     for r in sent.groupBy("range").applyInArrow(add, "range long, passed binary").toArrow().to_pylist():
         out[r["range"]] = np.frombuffer(r["passed"], np.uint64)
     held.unpersist()
@@ -219,15 +227,17 @@ def _rows(lang: str, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(phrases)), phrases.cast(pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "a"])
 
 
-def _cut(phrases: DataFrame, counts: DataFrame, k: int) -> DataFrame:
-    """``phrases`` with l and r of the cut behind word ``k``."""
-    cut = phrases.withColumn("head", F.substring_index("phrase", " ", k)).withColumn("tail", F.expr("substring(phrase, length(head) + 2)"))
-    for part, name in (("head", "l"), ("tail", "r")):
-        own = counts.select(F.col("lang").alias("of"), F.col("phrase").alias("part"), F.col("a").alias(name))
-        cut = cut.join(maybe_broadcast(own), (F.col("lang") == F.col("of")) & (F.col(part) == F.col("part"))).drop("of", "part")
-    # Exact: numerator and denominator are decimals of 38 digits, the quotient is whole.
-    score = F.expr("(1000000BD * (cast(a as decimal(19,0)) * cast(a as decimal(19,0)))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))")
-    return cut.select("lang", "phrase", "words", "a", F.lit(k).alias("k"), "l", "r", score.alias("score"))
+def _parted(phrases: DataFrame, counts: DataFrame, longest: int) -> DataFrame:
+    """``phrases`` of ``longest`` words with k, l, r and score of their lowest-scoring cut, the first of equals."""
+    cuts = []
+    for k in range(1, longest):
+        for part, name in ((F.substring_index("phrase", " ", k), f"l{k}"), (F.substring_index("phrase", " ", k - longest), f"r{k}")):
+            own = counts.select(F.col("lang").alias("of"), F.col("phrase").alias("part"), F.col("a").alias(name))
+            phrases = phrases.withColumn("own", part).join(maybe_broadcast(own), (F.col("lang") == F.col("of")) & (F.col("own") == F.col("part"))).drop("of", "part", "own")
+        # Exact: numerator and denominator are decimals of 38 digits, the quotient is whole.
+        score = F.expr(f"(1000000BD * (cast(a as decimal(19,0)) * cast(a as decimal(19,0)))) div (cast(l{k} as decimal(19,0)) * cast(r{k} as decimal(19,0)))")
+        cuts.append(F.struct(score.alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r")))
+    return phrases.select("lang", "phrase", "words", "a", (F.least(*cuts) if len(cuts) > 1 else cuts[0]).alias("c"))
 
 
 def collocations(
@@ -243,8 +253,7 @@ def collocations(
     counts = phrase_counts(docs, least, lang_col, text_col)
     sized = counts.withColumn("words", F.size(F.split("phrase", " ")))
     two, three = (store(sized.where((F.col("words") == n) & (F.col("phrase") != "")), f"phrases-{n}") for n in (2, 3))
-    cuts = _cut(two, counts, 1).unionByName(_cut(three, counts, 1)).unionByName(_cut(three, counts, 2))
-    best = cuts.groupBy("lang", "phrase", "words", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("c"))
+    best = _parted(two, counts, 2).unionByName(_parted(three, counts, 3))
     inner = three.select("lang", F.explode(F.array(F.substring_index("phrase", " ", 2), F.substring_index("phrase", " ", -2))).alias("phrase"), "a")
     over = inner.groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     left = best.join(over, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * covered))
