@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomery.plans.registry import query
+from loomery.session import scratch_path, settled
 from loomery.sources.facts import refs
 from loomery.sources.tables import table
+from loomery.streaming.series import Series
 
 
 def touches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,3 +112,22 @@ def leftover_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("before", F.lag("ts").over(by)).withColumn("gap", F.expr("timestampdiff(MICROSECOND, before, ts)"))
     e = e.withColumn("session", F.sum(F.when(F.col("gap") <= 1_800_000_000, 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     return e.groupBy("user_id", "session").agg(F.min("event_id").alias("first_event"), F.count("*").alias("n_events"))
+
+
+#: Batches in which the series of days is stored, and its stamp.
+BATCHES, STAMP = 3, "v2"
+
+
+@query(
+    """SELECT date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::BIGINT AS step, count(*)::DOUBLE AS value FROM orders GROUP BY 1"""
+)
+def trend_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of each day, measured once by an older measure and then in batches that overlap by the newest one."""
+    days = table(spark, sf_dir, "orders").groupBy(F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long").alias("step"))
+    days = settled(days.agg(F.count("*").cast("double").alias("value")), "days")
+    series = Series(spark, scratch_path(spark, "series"))
+    series.append("first", days.withColumn("value", F.lit(0.0)), "v1")
+    part = F.pmod(F.xxhash64("step"), F.lit(BATCHES))
+    for k in range(BATCHES):
+        series.append(str(k), days.where(part <= k), STAMP)
+    return series.rows(STAMP)

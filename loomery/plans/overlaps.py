@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from loomery.functions import fnv, shingles, words
+from loomery.operators.coverage import coverage
 from loomery.plans.clones import CLONES, GRAMS, KGRAM, kgrams, runs, winnow
 from loomery.plans.registry import query
 from loomery.plans.texts import turn_shingles
@@ -127,3 +128,13 @@ def buckets(signatures: DataFrame) -> DataFrame:
 @query()
 def lsh_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buckets(minhash_signatures(spark, sf_dir))
+
+
+#: Tokens of a run that is judged, and of those how many no longer run of the pair may have.
+JUDGED, OWN = 8, 6
+
+
+@query()
+def run_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clone runs by whether they are reported, suppressed by longer ones of their pair, or dropped as too short."""
+    return coverage(runs(kgrams(spark, sf_dir)), JUDGED, OWN)
