@@ -21,6 +21,12 @@ def shingles(tokens: Column, width: int) -> Column:
     return F.transform(at, lambda i: F.array_join(F.slice(tokens, i, F.lit(width)), " "))
 
 
+def turn_id() -> Column:
+    """One number for conversation and turn; a turn of 2**20 or more, or below 0, is an error."""
+    told = F.when(F.col("turn").between(0, (1 << 20) - 1), F.col("turn").cast("long")).when(F.col("turn").isNotNull(), F.raise_error(F.lit("turn out of range")).cast("long"))
+    return F.col("conv_id").cast("long") * (1 << 20) + told
+
+
 def line_count(text: Column) -> Column:
     """Number of lines; a final line end opens no further line, an empty text has none."""
     parts = F.size(F.split(text, "\n"))

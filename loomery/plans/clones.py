@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomery.functions import words
+from loomery.functions import turn_id, words
 from loomery.operators import graph
 from loomery.operators.intervals import owner_join, span_union
 from loomery.plans.registry import query
@@ -16,7 +16,7 @@ from loomery.sources.tables import table
 KGRAM, WINDOW, HOT = 5, 4, 64
 
 # Fingerprints are spelled as a prefix of the MD5 of the k-gram, so that any engine computes them.
-GRAMS = r"""w AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM conversations),
+GRAMS = r"""w AS (SELECT conv_id::BIGINT * 1048576 + turn AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM conversations),
 gram AS (SELECT id, k - 1 AS k, substr(md5(array_to_string(w[k:k + 4], ' ')), 1, 12) AS h FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS k FROM w)),
 win AS (SELECT id, k, min(h) OVER s AS h, count(*) OVER s AS c, count(*) OVER (PARTITION BY id) AS n FROM gram WINDOW s AS (PARTITION BY id ORDER BY k ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
 fp AS (SELECT DISTINCT id, max(gram.k) AS k, gram.h FROM (SELECT id, k AS k0, h FROM win WHERE c = least(4, n) ) x JOIN gram USING (id, h) WHERE gram.k BETWEEN k0 AND k0 + 3 GROUP BY id, k0, gram.h)"""
@@ -24,7 +24,7 @@ fp AS (SELECT DISTINCT id, max(gram.k) AS k, gram.h FROM (SELECT id, k AS k0, h
 
 def kgrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, k, h: hash of the k-gram at each position of each turn."""
-    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), words(F.col("text")).alias("w"))
+    c = table(spark, sf_dir, "conversations").select(turn_id().alias("id"), words(F.col("text")).alias("w"))
     at = F.when(F.size("w") >= KGRAM, F.sequence(F.lit(0), F.size("w") - F.lit(KGRAM))).otherwise(F.array().cast("array<int>"))
     gram = F.transform(at, lambda i: F.substring(F.md5(F.array_join(F.slice("w", i + 1, F.lit(KGRAM)), " ").cast("binary")), 1, 12))
     return c.select("id", F.posexplode(gram).alias("k", "h"))

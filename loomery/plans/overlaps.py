@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from loomery.functions import fnv, shingles, words
+from loomery.functions import fnv, shingles, turn_id, words
 from loomery.operators.coverage import coverage
 from loomery.plans.clones import CLONES, GRAMS, KGRAM, kgrams, runs, winnow
 from loomery.plans.registry import query
@@ -56,7 +56,7 @@ def self_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def run_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clone runs with their distinct tokens; those of fewer than seven are not judged."""
-    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id_a"), words(F.col("text")).alias("w"))
+    c = table(spark, sf_dir, "conversations").select(turn_id().alias("id_a"), words(F.col("text")).alias("w"))
     part = F.slice("w", (F.col("start_a") + 1).cast("int"), F.col("n").cast("int"))
     r = runs(kgrams(spark, sf_dir)).join(c, "id_a").withColumn("n_distinct", F.size(F.array_distinct(part)).cast("long")).drop("w")
     return r.withColumn("judged", F.col("n_distinct") >= DISTINCT).select("id_a", "id_b", "start_a", "start_b", "n", "n_distinct", "judged")
@@ -70,13 +70,13 @@ def fingerprint_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of.groupBy("h").agg(F.sum("n").alias("n_starts"), F.count("*").alias("n_streams"))
 
 
-KINDS = r"""w AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM conversations),
+KINDS = r"""w AS (SELECT conv_id::BIGINT * 1048576 + turn AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM conversations),
 kind AS (SELECT id, k, CASE WHEN length(w[k]) <= 3 THEN 's' WHEN length(w[k]) <= 6 THEN 'm' ELSE 'l' END AS kind FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS k FROM w))"""
 
 
 def kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, kind: the kinds of a turn's words in order: short, middle or long."""
-    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), words(F.col("text")).alias("w"))
+    c = table(spark, sf_dir, "conversations").select(turn_id().alias("id"), words(F.col("text")).alias("w"))
     of = F.transform("w", lambda w: F.when(F.length(w) <= 3, "s").when(F.length(w) <= 6, "m").otherwise("l"))
     return c.select("id", of.alias("kind"))
 

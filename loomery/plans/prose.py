@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomery.functions import shingles, words
+from loomery.functions import shingles, turn_id, words
 from loomery.plans.changes import VERSIONS, mentions, version_lines
 from loomery.plans.clones import hash_pairs
 from loomery.plans.registry import query
@@ -160,7 +160,7 @@ def turn_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     p = shared_pairs(turn_shingles(spark, sf_dir).select("id", "s").distinct(), 0.8)
     near = p.where(F.col("n_both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("n_both")) * 80).select("id_a", "id_b", F.lit(True).alias("near"), F.lit(False).alias("run"))
-    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), words(F.col("text")).alias("w"))
+    c = table(spark, sf_dir, "conversations").select(turn_id().alias("id"), words(F.col("text")).alias("w"))
     part = F.transform(shingles(F.col("w"), RUN), lambda s: F.md5(s.cast("binary")))
     long = c.select("id", F.explode(F.array_distinct(part)).alias("h")).withColumn("k", F.lit(0))
     run = hash_pairs(long).select("id_a", "id_b").distinct().select("id_a", "id_b", F.lit(False), F.lit(True))

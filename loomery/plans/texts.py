@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomery.functions import line_count, shingles, words
+from loomery.functions import line_count, shingles, turn_id, words
 from loomery.plans.registry import query
 from loomery.sources.tables import table
 
@@ -49,7 +49,7 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "lang", line_count(F.col("text")).cast("long").alias("lines"))
 
 
-TURNS = r"""w AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM conversations),
+TURNS = r"""w AS (SELECT conv_id::BIGINT * 1048576 + turn AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM conversations),
 sh AS (SELECT id, k, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS k FROM w)),
 sets AS (SELECT DISTINCT id, s FROM sh)"""
 
@@ -57,7 +57,7 @@ sets AS (SELECT DISTINCT id, s FROM sh)"""
 def turn_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, k, s: the five-word shingles of each turn by position."""
     c = table(spark, sf_dir, "conversations")
-    c = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), words(F.col("text")).alias("w"))
+    c = c.select(turn_id().alias("id"), words(F.col("text")).alias("w"))
     return c.select("id", F.posexplode(shingles(F.col("w"), WIDTH)).alias("k", "s"))
 
 

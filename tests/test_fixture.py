@@ -35,4 +35,5 @@ def test_few_conversations(spark, talks, name):
 
 def test_either_arm_makes_duplicates(spark, talks):
     out = {(r["id_a"], r["id_b"]): (r["near"], r["run"]) for r in registry.QUERIES["turn_duplicates"](spark, talks[0]).collect()}
-    assert out[1000, 1001] == (True, True) and out[1000, 2000] == (False, True) and not any(2001 in p for p in out)
+    one = 1 << 20
+    assert out[one, one + 1] == (True, True) and out[one, 2 * one] == (False, True) and not any(2 * one + 1 in p for p in out)
