@@ -198,13 +198,27 @@ def test_tokenizers_agree_on_random_texts():
     assert [x.tolist() for x in tokens.word_encoder()(pa.array(texts))] == want
 
 
+ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
 def _base(t):
-    s = [(m.start(), 0, m.end()) for m in secret_scan.ASSIGN.finditer(t) if len(m[2]) >= 12]
+    s = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 12]
     s += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
     s += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
     return sorted(s)
 
 
+def test_op6(spark, sf_dir, docs):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rows = {r.doc_id: r for r in queries.op6_token_counts(spark, sf_dir).collect()}
+    assert len(rows) == len(docs)
+    for i, t, _ in docs:
+        n = len(library.encode(t))
+        assert (rows[i].n_bytes, rows[i].n_tokens, rows[i].over_limit) == (len(t.encode()), n, n > 4096)
+
+
 def test_secret_scan(spark, sf_dir, docs):
     text = {i: t for i, t, _ in docs}
     for r in queries.op7_secret_scan(spark, sf_dir).collect():
