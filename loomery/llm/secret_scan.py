@@ -1,19 +1,23 @@
 """Secret scans: fixed patterns, and a character convolutional network over every candidate.
 
 One pass over the texts finds the spans of the base patterns and every candidate, a run of 12 or
-more characters of the alphabet that keys are written in, with the characters around it. A run of
-letters in one case, a capital in front and stops behind it allowed, is a word and no candidate
-unless a base pattern hits it. Candidates are few and short against their texts; the table of them
-is written once and serves both the fit and the scoring.
+more characters of the alphabet that keys are written in, with the characters around it. Runs of
+letters in one case, a capital in front and stops behind it allowed, are candidates like all others:
+most are words, some may be keys. Candidates are few and short against their texts; the table of
+them is written once and serves both the fit and the scoring.
 
 The network embeds characters, convolves them with a few filters, takes the maxima over the
 candidate and over what stands before and after it, and ends in one logistic unit. It is trained
 in numpy on the driver, on a bounded sample of findings. Candidates that a base pattern confirms
 are secrets; each is also shown in upper case, in the surroundings of others, and spelled anew with
-random letters of both cases and digits, for a key is known by its disorder and not only by the
-word before it. Clean are the candidates that are seen to be something else: numbers with
-separators (addresses, dates) and runs of lower-case words and digits with stops or slashes
-(hosts, mail, paths). What is neither is not taught and only scored. A held-back part of the
+random letters of both cases and digits and with random letters of one case, for a key is known by
+its disorder and not only by the word before it. Clean are the candidates that are seen to be
+something else: numbers with separators (addresses, dates), runs of lower-case words and digits
+with stops or slashes (hosts, mail, paths), and words: runs of letters in one case that all rows
+together show in SEEN different surroundings or more (copies of one text are one). Clean ones are
+also shown in upper case, and words too short for a candidate are strung together, so that the
+letters of the corpus' words are taught however few of its long words recur. What is none of these
+is not taught and only scored. A held-back part of the
 sample calibrates the logits (Platt) and sets the threshold, the highest that keeps the asked
 recall. Candidates above it that no base span overlaps are added as ``learned`` spans.
 """
@@ -39,17 +43,26 @@ HEX, HEX_LEAST = re.compile(r"[0-9a-f]+"), 16
 
 KINDS = ("assign", "access", "hex", "learned")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
+#: Runs of letters in one case; they are words where SEEN surroundings or more show them.
 WORDLIKE = re.compile(r"[A-Za-z]?(?:[a-z]*|[A-Z]*)[.=_-]*")
 #: Runs that are taught as clean: numbers with separators; lower-case words and digits with stops or slashes.
 CLEAN = re.compile(r"[0-9]+(?:[./:_+-]+[0-9]+)+[.=-]*|(?=.*[./])(?:[a-z]+[0-9]{0,3}|[0-9]{1,4})(?:[./_-]+(?:[a-z]+[0-9]{0,3}|[0-9]{1,4}))+[./_=-]*")
+SEEN = 5
+#: Labels of candidates: a base pattern's, of the kind of CLEAN, unknown, letters in one case.
+HIT, OTHER, UNKNOWN, LETTERS = 1, 0, -1, -2
 AROUND = 24
-#: Findings of either label that the fit may use, and the longest one.
+#: Findings that the fit may use of base patterns, of the kind of CLEAN and of words each, and the longest one.
 SAMPLE, SAMPLE_CHARS = 3000, 160
 RECALL = 0.97
 #: Characters of a row that are convolved at once.
 SLICE = 4096
+#: Passes over the sample: EPOCHS, and of a small one as many as make STEPS steps.
+STEPS = 1500
 WIDTH, EMBED, FILTERS, EPOCHS, BATCH, RATE, SEED = 5, 8, 16, 10, 64, 0.01, 5
 ALPHABET, LEAST_ANEW = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 20
+ONE_CASE = "abcdefghijklmnopqrstuvwxyz"
+#: Words too short for a candidate, in the surroundings of one; so many letters of them are strung together.
+SHORT, STRUNG = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z]?[a-z]{1,10}(?![A-Za-z0-9+/_=-])"), (12, 30)
 CODES = 100  # 0 nothing, 1 to 95 printable ASCII, 96 white space, 97 letters beyond ASCII, 98 the rest
 
 
@@ -67,8 +80,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def findings(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans in order, candidates as (start, end, label)).
 
-    The label is 1 where a base span overlaps, 0 where the run is of the kind that CLEAN tells, and
-    -1 elsewhere: neither is known.
+    The label is HIT where a base span overlaps, OTHER where the run is of the kind that CLEAN tells,
+    LETTERS where it is letters in one case, and UNKNOWN elsewhere.
     """
     spans, runs = base_spans(text), []
     for m in CANDIDATE.finditer(text):
@@ -85,9 +98,11 @@ def findings(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int
         while at < len(starts) and starts[at] < b:
             at += 1
         if reach[at] > a:
-            out.append((a, b, 1))
-        elif not WORDLIKE.fullmatch(text, a, b):
-            out.append((a, b, 0 if b - a <= SAMPLE_CHARS and CLEAN.fullmatch(text, a, b) else -1))
+            out.append((a, b, HIT))
+        elif WORDLIKE.fullmatch(text, a, b):
+            out.append((a, b, LETTERS))
+        else:
+            out.append((a, b, OTHER if b - a <= SAMPLE_CHARS and CLEAN.fullmatch(text, a, b) else UNKNOWN))
     return spans, out
 
 
@@ -173,7 +188,7 @@ class Network:
         codes, part = _padded(rows)
         weight = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum())) * len(labels)
         step = 0
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, STEPS * BATCH // max(1, len(rows)))):
             order = rng.permutation(len(rows))
             for at in range(0, len(order), BATCH):
                 i = order[at : at + BATCH]
@@ -234,13 +249,27 @@ def fit(rows: list[tuple[str, int, int]], labels: list[int]) -> Network | None:
     held = [(r, k) for r, k, b in zip(rows, labels, back) if b]
     for part in (train, held):
         more = []
+        short = sorted({w.lower() for (text, a, b), _ in part for near in (text[:a], text[b:]) for w in SHORT.findall(near)})
         for (text, a, b), k in part:
+            # Words are no secrets, nor are they in upper case or strung together.
+            spelled = [] if k else [text[a:b].upper()]
+            if short:
+                least, strung = rng.integers(*STRUNG), ""
+                while len(strung) < least:
+                    strung += short[rng.integers(len(short))]
+                spelled += [strung, strung.upper()]
+            for w in spelled:
+                other, c, d = part[rng.integers(len(part))][0]
+                more.append(((other[:c] + w + other[d:], c, c + len(w)), 0))
             if k:
                 other, c, d = part[rng.integers(len(part))][0]
                 anew = "".join(rng.choice(list(ALPHABET), max(LEAST_ANEW, b - a)))
                 more.append(((text[:a] + text[a:b].upper() + text[b:], a, b), 1))
                 more.append(((other[:c] + text[a:b] + other[d:], c, c + b - a), 1))
                 more.append(((other[:c] + anew + other[d:], c, c + len(anew)), 1))
+                letters = "".join(rng.choice(list(ONE_CASE), max(LEAST_ANEW, b - a)))
+                letters = letters.upper() if rng.random() < 0.5 else letters
+                more.append(((other[:c] + letters + other[d:], c, c + len(letters)), 1))
         part += more
     net = Network()
     net.train([r for r, _ in train], np.array([k for _, k in train], float))
@@ -279,10 +308,13 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     each = table.select(F.explode("found").alias("f")).select("f.*", (F.col("f.stop") - F.col("f.start")).alias("n"))
     each = each.where(F.col("n") <= SAMPLE_CHARS).select("hit", "near", "before", "n", F.xxhash64("near", "before").alias("h"))
     sample = []
-    for k in (1, 0):
-        # Equal findings count once: a copied document is no further evidence.
-        once = each.where(F.col("hit") == k).distinct()
-        sample += once.orderBy("h", "near", "before").limit(SAMPLE).collect()
+    # Equal findings count once: a copied document is no further evidence.
+    once = each.distinct()
+    for k in (HIT, OTHER):
+        sample += once.where(F.col("hit") == k).orderBy("h", "near", "before").limit(SAMPLE).collect()
+    one = once.where(F.col("hit") == LETTERS).withColumn("run", F.expr("substring(near, before + 1, cast(n as int))"))
+    words = one.groupBy("run").agg(F.count("*").alias("seen"), F.min(F.struct("h", "near", "before", "n")).alias("f")).where(F.col("seen") >= SEEN)
+    sample += words.select(F.lit(OTHER).alias("hit"), "f.*").orderBy("h", "near", "before").limit(SAMPLE).collect()
     net = fit([(r["near"], r["before"], r["before"] + r["n"]) for r in sample], [r["hit"] for r in sample])
     held = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -295,7 +327,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             p = model.probability([(f["near"], f["before"], f["before"] + f["stop"] - f["start"]) for _, f in flat]) if model and flat else []
             more: dict[int, list[tuple[int, int, int]]] = {}
             for (i, f), x in zip(flat, p):
-                if x >= model.threshold and f["hit"] < 1:
+                if x >= model.threshold and f["hit"] != HIT:
                     more.setdefault(i, []).append((f["start"], 3, f["stop"]))
             count = [pa.array([sum(s[1] == k for s in x) for x in base], pa.int64()) for k in range(3)]
             text = [_spelled(x) for x in base], [_spelled(sorted(x + more.get(i, []))) for i, x in enumerate(base)]
