@@ -24,10 +24,14 @@ fp AS (SELECT DISTINCT id, max(gram.k) AS k, gram.h FROM (SELECT id, k AS k0, h
 
 def kgrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, k, h: hash of the k-gram at each position of each turn."""
-    c = table(spark, sf_dir, "conversations").select(turn_id().alias("id"), words(F.col("text")).alias("w"))
+    return grams_of(table(spark, sf_dir, "conversations").select(turn_id().alias("id"), words(F.col("text")).alias("w")))
+
+
+def grams_of(streams: DataFrame) -> DataFrame:
+    """id, k, h: hash of the k-gram at each position of the tokens ``w`` of each id."""
     at = F.when(F.size("w") >= KGRAM, F.sequence(F.lit(0), F.size("w") - F.lit(KGRAM))).otherwise(F.array().cast("array<int>"))
     gram = F.transform(at, lambda i: F.substring(F.md5(F.array_join(F.slice("w", i + 1, F.lit(KGRAM)), " ").cast("binary")), 1, 12))
-    return c.select("id", F.posexplode(gram).alias("k", "h"))
+    return streams.select("id", F.posexplode(gram).alias("k", "h"))
 
 
 def winnow(grams: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -119,10 +119,14 @@ def minhash_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signed(turn_shingles(spark, sf_dir).select("id", "s"))
 
 
+def banded(signatures: DataFrame) -> DataFrame:
+    """id, band, key: the key of every band of each signature."""
+    return signatures.select("id", F.posexplode(_keys("signature")).alias("band", "key"))
+
+
 def buckets(signatures: DataFrame) -> DataFrame:
     """band, key, n, first: bands of four values that two or more ids have alike, and the least of them."""
-    k = signatures.select("id", F.posexplode(_keys("signature")).alias("band", "key"))
-    return k.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
+    return banded(signatures).groupBy("band", "key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
 
 
 @query()

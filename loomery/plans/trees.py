@@ -85,7 +85,8 @@ def tree_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units(nodes(table(spark, sf_dir, "pages"))).select("page_id", "n", "kind", "class")
 
 
-def _judged(unit: DataFrame) -> DataFrame:
+def judged(unit: DataFrame) -> DataFrame:
+    """The first page of each class of judged trees."""
     return unit.where((F.col("kind") == "tree") & (F.col("page_id") == F.col("class")))
 
 
@@ -96,7 +97,7 @@ def candidates(unit: DataFrame) -> DataFrame:
     the sum of the smaller counts. It must hold ALIKE percent of the larger tree, so two trees meet
     under one of the rarest elements of either: only that many are posted.
     """
-    c = _judged(unit).select(F.col("class").alias("id"), "n", F.transform(F.split("form", ","), lambda x: F.split(x, " ")[0]).alias("tags"))
+    c = judged(unit).select(F.col("class").alias("id"), "n", F.transform(F.split("form", ","), lambda x: F.split(x, " ")[0]).alias("tags"))
     counts = c.select("id", "n", F.explode("tags").alias("tag")).groupBy("id", "n", "tag").agg(F.count("*").cast("int").alias("of"))
     each = counts.select("id", "n", "tag", F.explode(F.sequence(F.lit(1), F.col("of"))).alias("k"))
     each = each.select("id", "n", F.concat_ws(" ", "tag", F.col("k").cast("string")).alias("e"))
