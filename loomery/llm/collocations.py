@@ -15,9 +15,11 @@ both sides, which runs over the shard and counts all matches, overlapping ones i
 belongs to the shard in which it begins. A shard has a fixed number of tokens, so an automaton is
 bounded whatever the corpus holds, and every text is read once.
 
-Sums: the counts of the shards are summed by language and phrase, which is exact, and what stays
-below the least count goes. Parts are joined to phrases for the scores; all that follows are joins
-and groups on the counted phrases.
+Sums: a task adds up the counts of its shards and sends them as sorted, compressed lists, one for
+each language and range of hashes; each range is summed by phrase, which is exact, and what stays
+below the least count goes. There are the more ranges the more words there are, so that a range is
+bounded. Parts are joined to phrases for the scores; all that follows are joins and groups on the
+counted phrases.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +49,8 @@ MIN_BITS, MAX_BITS = 16, 28
 NOTHING, GUARD = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
 #: log2 of the number of ranges of buckets that are added apart, and phrases that a task gathers before it sends them.
 RANGES_BITS, SENT = 8, 1 << 21
+#: The same for counted phrases: ranges follow the number of words, so many words to a range, between these bounds.
+MIN_PARTS, MAX_PARTS, PART_WORDS, COUNTED = 6, 14, 1 << 22, 1 << 20
 #: Tokens of a shard.
 SHARD = 1 << 18
 #: Parts a language's rows are ranked in before the best of each part are ranked together.
@@ -69,8 +74,8 @@ class Stream:
         # Splitting leaves an empty token at a blank beginning or end: a border like any other.
         self.real = np.array([w not in (".", "") for w in names], bool)[self.codes] if names else np.zeros(0, bool)
         seed = np.uint64(xxhash.xxh3_64_intdigest(lang))
-        hashes = _mix(np.array(memo(names), np.uint64) ^ seed) if names else np.zeros(0, np.uint64)
-        self.hash = hashes[self.codes]
+        self.word_hash = _mix(np.array(memo(names), np.uint64) ^ seed) if names else np.zeros(0, np.uint64)
+        self.hash = self.word_hash[self.codes]
 
     def buckets(self, length: int, bits: int) -> np.ndarray:
         """Bucket of the phrase of so many words that begins at each token (whether or not one does)."""
@@ -157,19 +162,24 @@ def _sketch(docs: DataFrame, length: int, maps: list[np.ndarray], bits: int, lea
     return out.reshape(-1)
 
 
-def _count_shard(stream: Stream, first: int, starts: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
-    """Candidates (phrases of more than one word) that begin in the shard from token ``first`` on, and how often each does."""
+def _count_shard(stream: Stream, first: int, starts: list[np.ndarray], hashes: list[np.ndarray]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Candidates (phrases of more than one word) that begin in the shard from token ``first`` on, how often each does, and their ranges.
+
+    ``hashes`` are the ranges of the phrases of each of these lengths, by the token they begin at.
+    """
     end = min(first + SHARD, len(stream.codes))
     words, codes = stream.words, stream.codes[first : min(end + LONGEST - 1, len(stream.codes))]
+    ranges = []
     guarded = []
     for length in range(2, LONGEST + 1):
         at = np.flatnonzero(starts[length - 1][first:end])
         at = at[_firsts(stream, first + at, length)]
+        ranges.append(hashes[length - 2][first + at])
         own = [words.take(pa.array(codes[at + j])) for j in range(length)]
         guarded.append(pc.binary_join_element_wise(NOTHING, *own, NOTHING, GUARD))
     guarded = pa.concat_arrays(guarded)
     if not len(guarded):
-        return guarded, np.zeros(0, np.int64)
+        return guarded, np.zeros(0, np.int64), np.zeros(0, np.int64)
     automaton, patterns = ahocorasick.Automaton(), guarded.to_numpy(zero_copy_only=False).tolist()
     for i, p in enumerate(patterns):
         automaton.add_word(p, i)
@@ -179,7 +189,7 @@ def _count_shard(stream: Stream, first: int, starts: list[np.ndarray]) -> tuple[
     found = np.fromiter(chain.from_iterable(automaton.iter(" " + " ".join(tokens) + " ")), np.int64).reshape(-1, 2)
     wide = np.fromiter(map(len, patterns), np.int64, len(patterns))
     own = found[found[:, 0] - wide[found[:, 1]] + 1 < limit, 1]
-    return pc.utf8_slice_codeunits(guarded, 1, -1), np.bincount(own, minlength=len(patterns))
+    return pc.utf8_slice_codeunits(guarded, 1, -1), np.bincount(own, minlength=len(patterns)), np.concatenate(ranges)
 
 
 def _firsts(stream: Stream, at: np.ndarray, length: int) -> np.ndarray:
@@ -205,26 +215,89 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, lang_col: str = "lang", t
     for length in range(1, LONGEST + 1):
         maps.append(_sketch(plain, length, maps, bits, least))
     held = docs.sparkSession.sparkContext.broadcast(maps)
+    part_bits = min(MAX_PARTS, max(MIN_PARTS, (int(words) // 5 // PART_WORDS).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _word_memo()
+        memo, counted = _word_memo(), Counted()
         for b in batches:
             for lang, texts in _by_lang(b):
                 stream = Stream(texts, lang, memo)
                 starts = stream.passing(held.value, bits)[:LONGEST]
-                yield _rows(lang, pa.array([""], pa.large_string()), np.array([stream.real.sum()]))
+                counted.add(lang, pa.array([""], pa.large_string()), np.array([stream.real.sum()]), np.zeros(1, np.int64))
                 # Single words are parts, no candidates: the codes count them.
                 n = np.bincount(stream.codes[starts[0]], minlength=len(stream.words))
-                yield _rows(lang, stream.words.filter(pa.array(n > 0)), n[n > 0])
+                counted.add(lang, stream.words.filter(pa.array(n > 0)), n[n > 0], (stream.word_hash[n > 0] >> np.uint64(64 - part_bits)).astype(np.int64))
+                hashes = [stream.buckets(length, part_bits) for length in range(2, LONGEST + 1)]
                 for first in range(0, len(stream.codes), SHARD):
-                    yield _rows(lang, *_count_shard(stream, first, starts))
-
-    sums = map_arrow(plain, run, "lang string, phrase string, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
-    return store(sums.where((F.col("a") >= least) | (F.col("phrase") == "")), "phrase-counts")
+                    counted.add(lang, *_count_shard(stream, first, starts, hashes))
+                    if counted.held >= COUNTED:
+                        yield from counted.sent()
+        yield from counted.sent()
 
-
-def _rows(lang: str, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(phrases)), phrases.cast(pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "a"])
+    def total(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, new, waiting = None, [], 0
+        for b in batches:
+            for packed in b.column("packed").to_pylist():
+                new.append(_unpacked(packed))
+                waiting += new[-1].num_rows
+                # Added when as many wait as are held, so each is added a few times at most.
+                if waiting > max(COUNTED, sums.num_rows if sums else 0):
+                    sums, new, waiting = _summed([sums, *new] if sums else new), [], 0
+        sums = _summed([sums, *new] if sums else new)
+        enough = sums.filter(pc.or_(pc.greater_equal(sums["a"], least), pc.equal(sums["phrase"], "")))
+        lang = pa.repeat(pa.scalar(key[0].as_py(), pa.string()), enough.num_rows)
+        yield from pa.table({"lang": lang, "phrase": enough["phrase"].cast(pa.string()), "a": enough["a"]}).to_batches(1 << 16)
+
+    sent = map_arrow(plain, run, "lang string, part long, packed binary")
+    return store(sent.groupBy("lang", "part").applyInArrow(total, "lang string, phrase string, a long"), "phrase-counts")
+
+
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    """phrase, a (and part, where it is there): each phrase once."""
+    t = pa.concat_tables(tables)
+    keys = [c for c in t.column_names if c != "a"]
+    return t.group_by(keys).aggregate([("a", "sum")]).rename_columns([*keys, "a"])
+
+
+class Counted:
+    """Counts that a task gathers, by language, until they are sent."""
+
+    def __init__(self):
+        self.tables: dict[str, list[pa.Table]] = {}
+        self.held = 0
+
+    def add(self, lang: str, phrases: pa.Array, n: np.ndarray, ranges: np.ndarray) -> None:
+        t = pa.table({"phrase": phrases, "part": pa.array(ranges, pa.int64()), "a": pa.array(n, pa.int64())})
+        self.tables.setdefault(lang, []).append(t)
+        self.held += t.num_rows
+
+    def sent(self) -> Iterator[pa.RecordBatch]:
+        """What was gathered, a row for each range of a language: its phrases in order, so that they compress."""
+        packer = zstandard.ZstdCompressor(level=3)
+        for lang, tables in self.tables.items():
+            t = _summed(tables)
+            t = t.take(pc.sort_indices(t, [("part", "ascending"), ("phrase", "ascending")]))
+            part, n = t["part"].to_numpy(), t["a"].to_numpy()
+            cuts = np.flatnonzero(np.diff(part, prepend=-1))
+            ends = [*cuts[1:].tolist(), len(part)]
+            packed = [packer.compress(_packed(t["phrase"].slice(x, y - x).to_pylist(), n[x:y])) for x, y in zip(cuts.tolist(), ends)]
+            langs = pa.repeat(pa.scalar(lang, pa.string()), len(cuts))
+            yield pa.RecordBatch.from_arrays([langs, pa.array(part[cuts]), pa.array(packed, pa.binary())], ["lang", "part", "packed"])
+        self.tables, self.held = {}, 0
+
+
+def _packed(phrases: list[str], n: np.ndarray) -> bytes:
+    """How many there are, their counts in planes of bytes, and the phrases; none holds a line end."""
+    planes = np.frombuffer(n.astype("<i8").tobytes(), np.uint8).reshape(-1, 8).T.tobytes()
+    return len(phrases).to_bytes(8, "little") + planes + "\n".join(phrases).encode()
+
+
+def _unpacked(packed: bytes) -> pa.Table:
+    plain = zstandard.ZstdDecompressor().decompress(packed)
+    size = int.from_bytes(plain[:8], "little")
+    n = np.frombuffer(plain[8 : 8 + 8 * size], np.uint8).reshape(8, -1).T.copy().view("<i8").reshape(-1)
+    phrases = pc.split_pattern(pa.array([plain[8 + 8 * size :].decode()], pa.large_string()), "\n").flatten()
+    return pa.table({"phrase": phrases, "a": pa.array(n, pa.int64())})
 
 
 def _parted(phrases: DataFrame, counts: DataFrame, longest: int) -> DataFrame:

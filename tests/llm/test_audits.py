@@ -272,7 +272,7 @@ def test_shards_count_what_begins_in_them(monkeypatch, shard):
     starts = [stream.real, stream.real[:-1] & stream.real[1:], stream.real[:-2] & stream.real[1:-1] & stream.real[2:]]
     got = Counter()
     for first in range(0, len(stream.codes), shard):
-        phrases, n = collocations._count_shard(stream, first, starts)
+        phrases, n, _ = collocations._count_shard(stream, first, starts, [stream.buckets(length, 6) for length in (2, 3)])
         got.update(dict(zip(phrases.to_pylist(), n.tolist())))
     want = Counter()
     for t in texts:
@@ -295,3 +295,20 @@ def test_bits_of_spark_and_numpy_agree(spark):
     held = personal_data._map_of(spark.createDataFrame([(t,) for t in terms], "term string"))
     assert personal_data.holds(held, personal_data._buckets(terms)).all()
     assert int(sum(bin(int(w)).count("1") for w in held[held > 0])) == len(np.unique(personal_data._buckets(terms)))
+
+
+def test_counts_come_back_whole_from_their_lists():
+    import numpy as np
+    import pyarrow as pa
+
+    rng, counted, want = random.Random(5), collocations.Counted(), Counter()
+    for _ in range(30):
+        own = Counter(rng.choices(["", "é", "a b", "a", "a b c", "ß ü"], k=9))
+        phrases, n = list(own), list(own.values())
+        counted.add("en", pa.array(phrases, pa.large_string()), np.array(n), np.array([len(p) % 3 for p in phrases]))
+        want.update(own)
+    assert counted.held > len(want)
+    rows = [(r["part"], collocations._unpacked(r["packed"]).to_pylist()) for b in counted.sent() for r in b.to_pylist()]
+    assert {r["phrase"]: r["a"] for _, part in rows for r in part} == want
+    assert len({p for p, _ in rows}) == len(rows) and all(len(r["phrase"]) % 3 == p for p, part in rows for r in part)
+    assert not list(counted.sent())
