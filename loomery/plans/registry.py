@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "reachable_files"
-MODULES = ("relational", "graphs", "structure", "texts", "clones", "ranking", "history", "scoring", "changes", "feeds", "pages", "pairs", "paths", "nodes", "overlaps", "prose", "trees", "tree_sources", "architecture", "blocks")
+MODULES = ("relational", "graphs", "structure", "texts", "clones", "ranking", "history", "scoring", "changes", "feeds", "pages", "pairs", "paths", "nodes", "overlaps", "prose", "trees", "tree_sources", "architecture", "blocks", "html_text", "widening", "ledgers", "frames")
 
 
 def query(sql: str | None = None, facts: bool = False) -> Callable[[Query], Query]:
