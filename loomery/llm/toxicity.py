@@ -198,10 +198,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = within([(r["__id"], r["__label"], r["n"]) for r in sizes])
     if not chosen:
         return fit([], [])
-    kept = docs.sparkSession.createDataFrame([(i,) for i in chosen], rows.select("__id").schema)
-    text = {r["__id"]: r for r in rows.join(F.broadcast(kept), "__id").select("__id", "__label", "__text").collect()}
-    found = [text[i] for i in chosen]
-    return fit([r["__text"] for r in found], [r["__label"] for r in found])
+    of_id = rows.select("__id").schema.add("__at", "long")
+    kept = docs.sparkSession.createDataFrame([(i, at) for at, i in enumerate(chosen)], of_id)
+    found = rows.join(F.broadcast(kept), "__id").select("__at", "__label", "__text")
+    # The sample is bounded, so one task holds it; the driver holds the model alone.
+    model = map_arrow(found.repartition(1), _fit_all, "weights binary, bias double").head()
+    return (np.frombuffer(bytes(model["weights"]), np.float32), model["bias"]) if model else None
+
+
+def _fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``fit`` of all rows (__at, __label, __text) in the order of the first column; no row without a model."""
+    rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: r[0])
+    model = fit([text for _, _, text in rows], [label for _, label, _ in rows])
+    if model:
+        weights, bias = model
+        yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()], pa.binary()), pa.array([bias])], ["weights", "bias"])
 
 
 def within(sizes: list[tuple]) -> list:
