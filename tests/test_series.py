@@ -58,3 +58,27 @@ def test_a_batch_that_comes_first_again_takes_nothing_from_others(spark, tmp_pat
     series.append("b", df, "m")
     series.append("a", df.where("step < 6"), "m")
     assert sorted(r.step for r in series.rows("m").collect()) == list(range(10))
+
+
+def test_coverage_goes_through_pairs_in_one_pass(spark):
+    # A pair's runs lie in several batches, and no group is gathered per pair.
+    rows = [(p, p + 1, s * 5, s * 5 + d, n) for p in range(30) for s in range(9) for d in (0, 3) for n in (6, 9, 9 + s)]
+    df = spark.createDataFrame(rows, "id_a long, id_b long, start_a long, start_b long, n long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = coverage(df, 8, 6)
+        got = sorted(tuple(r) for r in out.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for p in range(30):
+        seen = (set(), set())
+        for a, b, s, t, n in sorted((r for r in rows if r[0] == p), key=lambda r: (-r[4], r[2], r[3])):
+            ends = (set(range(s, s + n)), set(range(t, t + n)))
+            verdict = "dropped" if n < 8 else "suppressed" if min(len(e - x) for e, x in zip(ends, seen)) < 6 else "reported"
+            if verdict == "reported":
+                for e, x in zip(ends, seen):
+                    x |= e
+            want.append((a, b, s, t, n, verdict))
+    assert got == sorted(want)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
