@@ -90,6 +90,11 @@ def feedback_arcs(edges: DataFrame) -> DataFrame:
     in larger ones the order is greedy and the cut at most half of the component, for of an order
     and its reverse the better one is used. Loops of one node are not arcs and are left out.
     """
+    return ordered_cuts(edges)[0]
+
+
+def ordered_cuts(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``feedback_arcs``, and the order (id, key) that they are cut by in large components, if there are any."""
     edges = settled(edges.where("src <> dst").select("src", "dst", F.col("w").cast("long").alias("w")), "arcs")
     of = graph.strong_components(edges)
     a, b = (of.select(F.col("id").alias(end), F.col("component").alias(f"c_{end}"), F.col("size").alias(f"size_{end}")) for end in ("src", "dst"))
@@ -98,11 +103,11 @@ def feedback_arcs(edges: DataFrame) -> DataFrame:
     small = inner.where(F.col("size") <= EXACT).groupBy("component").applyInPandas(_cut_exactly, kinds).withColumn("exact", F.lit(True))
     large = inner.where(F.col("size") > EXACT).select("src", "dst", "w", "component")
     if large.isEmpty():
-        return settled(small, "cuts")
+        return settled(small, "cuts"), None
     order = _greedy_order(large)
     x, y = (order.select(F.col("id").alias(end), F.struct("key", "id").alias(f"at_{end}")) for end in ("src", "dst"))
     ranked = large.join(x, "src").join(y, "dst").select("src", "dst", "w", "component", (F.col("at_src") > F.col("at_dst")).alias("back"))
     ranked = settled(ranked, "ranked-arcs")
     turned = ranked.groupBy("component").agg((F.sum(F.when(F.col("back"), F.col("w")).otherwise(0)) * 2 > F.sum("w")).alias("turned"))
     greedy = ranked.join(turned, "component").where(F.col("back") != F.col("turned")).select("src", "dst", "w", F.lit(False).alias("exact"))
-    return settled(small.unionByName(greedy), "cuts")
+    return settled(small.unionByName(greedy), "cuts"), order

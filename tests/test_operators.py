@@ -137,3 +137,19 @@ def test_exact_intervals(spark):
     assert got[10, 0] == (0.0, pytest.approx(308.5, abs=0.1))
     assert got[10, 10] == (pytest.approx(691.5, abs=0.1), 1000.0)
     assert got[20, 5] == (pytest.approx(86.6, abs=0.1), pytest.approx(491.0, abs=0.1))
+
+
+def test_levels_take_few_rounds_on_long_paths(spark, monkeypatch):
+    rng = random.Random(4)
+    edges = [(i + 1, i) for i in range(60)] + [(rng.randint(31, 60), rng.randint(0, 30)) for _ in range(60)] + [(90, 60), (91, 0)]
+    want = {}
+    for v in [*range(61), 90, 91]:
+        want[v] = max((want[b] + 1 for a, b in edges if a == v), default=0)
+    df = _edges(spark, edges)
+    monkeypatch.setattr(graph, "MAX_ROUNDS", 12)
+    assert {tuple(r) for r in graph.levels(df).collect()} == set(want.items())
+    # Several blocks, in an order that leaves some nodes out.
+    order = spark.createDataFrame([(v, float(v)) for v in range(61)], "id long, key double")
+    assert {tuple(r) for r in graph.levels(df, order, 50).collect()} == set(want.items())
+    with pytest.raises(RuntimeError, match="cycle"):
+        graph.levels(_edges(spark, [(1, 2), (2, 1)]), None, 1)
