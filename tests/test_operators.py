@@ -153,3 +153,10 @@ def test_levels_take_few_rounds_on_long_paths(spark, monkeypatch):
     assert {tuple(r) for r in graph.levels(df, order, 50).collect()} == set(want.items())
     with pytest.raises(RuntimeError, match="cycle"):
         graph.levels(_edges(spark, [(1, 2), (2, 1)]), None, 1)
+
+
+def test_pairs_of_texts_are_merged_not_broadcast(spark):
+    sets = spark.createDataFrame([(i, f"{i // 3}-{k}") for i in range(12) for k in range(9)], "id long, s string")
+    for df in (shared_pairs(sets, 0.8), hash_pairs(sets.selectExpr("id", "s AS h", "0 AS k"))):
+        assert df.count() > 0
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
