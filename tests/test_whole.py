@@ -68,3 +68,15 @@ def test_frequent_copies_equal_sql(spark, tmp_path, name):
     columns = [d[0] for d in wanted.description]
     got = registry.QUERIES[name](spark, str(tmp_path)).select(*columns)
     assert sorted(tuple(r) for r in got.collect()) == sorted(wanted.fetchall())
+
+
+def test_spans_of_a_frequent_part_that_a_turn_repeats_equal_sql(spark, tmp_path):
+    common = " ".join(f"c{i}" for i in range(9))
+    rows = [(i, 0, f"x{i} {common} y{i}") for i in range(70)] + [(30, 1, f"a {common} b {common} d {common} e"), (31, 1, f"{common} g {common} h {common} i {common}")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    wanted = con.execute(registry.ORACLE_SQL["cloned_spans"])
+    columns = [d[0] for d in wanted.description]
+    got = registry.QUERIES["cloned_spans"](spark, str(tmp_path)).select(*columns)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(wanted.fetchall())
