@@ -14,13 +14,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomery.operators.trees import distance, post_order
+from loomery.operators.trees import near_distance, post_order
 from loomery.plans.registry import query
 from loomery.session import settled
 from loomery.sources.tables import table
 
 # Nodes of a unit that is judged, and the percentage of unchanged nodes of a clone.
 LEAST_NODES, ALIKE = 24, 85
+#: Pairs of trees whose distances one task computes, on the average.
+PAIRS = 32
 #: Tags that have no end.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 #: What is in comments, scripts and styles is no markup; neither is what begins with an exclamation mark.
@@ -127,25 +129,30 @@ def tree_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def read(form: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of the pairs that are clones; the others are left out."""
+
+    def read(form: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         parts = [p.split(" ") for p in form.split(",")]
         order, first = post_order([int(d) for _, d in parts])
-        return np.array([t for t, _ in parts])[order], first
+        tags = np.array([t for t, _ in parts])
+        return tags, tags[order], first
 
     for b in batches:
-        found = [distance(*read(x), *read(y)) for x, y in zip(b.column("form_a").to_pylist(), b.column("form_b").to_pylist())]
-        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("a", "b", "n_a", "n_b")], pa.array(found, pa.int64())], ["a", "b", "n_a", "n_b", "ted"])
+        trees = [(read(x), read(y)) for x, y in zip(b.column("form_a").to_pylist(), b.column("form_b").to_pylist())]
+        ted = pa.array([near_distance(x, y, max(len(x[0]), len(y[0])) * (100 - ALIKE) // 100) for x, y in trees], pa.int64())
+        of, found = b.filter(ted.is_valid()), ted.drop_null()
+        yield pa.RecordBatch.from_arrays([*[of.column(c) for c in ("a", "b", "n_a", "n_b")], found], ["a", "b", "n_a", "n_b", "ted"])
 
 
 def clones(unit: DataFrame) -> DataFrame:
     """a, b, n_a, n_b, ted: classes of which at least ALIKE percent of the larger tree stay as they are."""
     forms = unit.where(F.col("page_id") == F.col("class"))
     a, b = (forms.select(F.col("class").alias(x), F.col("form").alias(f"form_{x}")) for x in "ab")
-    pairs = settled(candidates(unit), "tree-candidates").join(a, "a").join(b, "b")
-    # Pairs come in the order of a key; dealt anew, so that the distances are spread over all tasks.
-    ted = pairs.repartition("a", "b").mapInArrow(_distances, "a long, b long, n_a long, n_b long, ted long")
-    large = F.greatest("n_a", "n_b")
-    return ted.where((large - F.col("ted")) * 100 >= large * ALIKE)
+    found = settled(candidates(unit), "tree-candidates")
+    # Pairs are small and their distances slow: without a number of tasks Spark puts them into one by their size.
+    tasks = min(found.count() // PAIRS + 1, 10_000)
+    pairs = found.join(a, "a").join(b, "b").repartition(tasks, "a", "b")
+    return pairs.mapInArrow(_distances, "a long, b long, n_a long, n_b long, ted long")
 
 
 @query()

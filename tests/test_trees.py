@@ -172,3 +172,33 @@ def test_planted_clusters_are_found(spark, monkeypatch):
     got = {r.id: r.cluster for r in clusters.clusters(spark.createDataFrame(edges, "src long, dst long, w long")).collect()}
     assert got == {i: i // 8 * 8 for i in range(32)}
     assert seen == sorted(seen)
+
+
+def test_near_distance_is_the_distance_or_more_than_asked():
+    rng = random.Random(9)
+    seen = set()
+    for _ in range(300):
+        a, b = (_random_tree(rng, rng.randint(1, 14)) for _ in range(2))
+        if rng.random() < 0.5:
+            b = (list(a[0]), list(a[1]))
+            for _ in range(rng.randint(0, 3)):
+                b[0][rng.randrange(len(b[0]))] = rng.choice("abc")
+        full = []
+        for labels, depths in (a, b):
+            order, first = trees.post_order(depths)
+            full.append((np.array(labels), np.array(labels)[order], first))
+        true = trees.distance(*full[0][1:], *full[1][1:])
+        for most in (0, 1, 2, 4, 30):
+            got = trees.near_distance(*full, most)
+            assert got == (true if true <= most else None)
+            seen.add(got is None)
+    assert seen == {True, False}
+
+
+def test_few_pairs_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(plans, "PAIRS", 2)
+    form = lambda i: ",".join(f"{t} {d}" for t, d in [("a", 0), *[("b", 1)] * 30, (f"c{i}", 1)])
+    unit = spark.createDataFrame([(i, 32, "tree", i, form(i)) for i in range(7)], "page_id long, n long, kind string, class long, form string")
+    found = plans.clones(unit)
+    assert {(r.a, r.b, r.ted) for r in found.collect()} == {(a, b, 1) for b in range(7) for a in range(b)}
+    assert found.rdd.getNumPartitions() > 5
