@@ -1,11 +1,13 @@
 """Operators on small inputs, against plain Python."""
 
 import random
+from math import comb
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomery.functions import fold_key, identifier_words, line_count, shape_bits, shingles, words
+from loomery.functions import fnv, fold_key, identifier_words, line_count, shape_bits, shingles, words
 from loomery.operators import graph
 from loomery.operators.intervals import owner_join, span_union
 from loomery.operators.stats import clopper_pearson
@@ -160,3 +162,32 @@ def test_pairs_of_texts_are_merged_not_broadcast(spark):
     for df in (shared_pairs(sets, 0.8), hash_pairs(sets.selectExpr("id", "s AS h", "0 AS k"))):
         assert df.count() > 0
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_intervals_of_many_trials(spark):
+    """Summed term by term for few trials; many take no longer."""
+    rates = [(n, x) for n in (1, 7, 60) for x in range(0, n + 1, 3)] + [(200_000_000, 40_000_000)]
+    got = {(r.n, r.x): (r.low / 1000, r.high / 1000) for r in clopper_pearson(spark.createDataFrame(rates, "n long, x long")).collect()}
+    for n, x in rates[:-1]:
+        low, high = got[n, x]
+        at_least = lambda k, p: sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
+        assert low == 0 if x == 0 else at_least(x, low - 1e-6) < 0.025 < at_least(x, low + 1e-6)
+        assert high == 1 if x == n else at_least(x + 1, high - 1e-6) < 0.975 < at_least(x + 1, high + 1e-6)
+    wide = 1.96 * (0.2 * 0.8 / 200_000_000) ** 0.5
+    assert got[rates[-1]] == pytest.approx((0.2 - wide, 0.2 + wide), abs=2e-6)
+
+
+def test_signature_of_a_large_set_equals_plain():
+    rng = random.Random(2)
+    for size in (1, 5, 1024, 1500):
+        x = [rng.getrandbits(63) * rng.choice((1, -1)) for _ in range(size)]
+        want = []
+        for i in (0, 1, 77, 127):
+            hashes = []
+            for e in x:
+                h = fnv.BASIS
+                for byte in (e % 2**64).to_bytes(8, "little") + i.to_bytes(4, "little"):
+                    h = (h ^ byte) * fnv.PRIME % 2**64
+                hashes.append(h)
+            want.append(min(hashes))
+        assert [int(v) for v in fnv.signature(np.array(x, np.int64))[[0, 1, 77, 127]]] == want
