@@ -19,6 +19,8 @@ from loomery.session import Rounds, settled
 MAX_ROUNDS = 10_000
 #: Arcs of a block of nodes whose levels one task finds.
 BLOCK = 500_000
+#: Labels that one number holds.
+BITS = 62
 
 
 def depths(edges: DataFrame, start: DataFrame) -> DataFrame:
@@ -54,14 +56,26 @@ def closure(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
 
 
 def labelled_reach(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """label, id: what the rows of ``start`` (label, id) of each label reach, themselves included."""
-    step, rounds = settled(edges.select("src", "dst").distinct()), Rounds(edges.sparkSession)
-    front = rounds.add(start.select("label", "id").distinct())
+    """label, id: what the rows of ``start`` (label, id) of each label reach, themselves included.
+
+    Labels are bits of whole numbers, BITS to each, so a node's labels are few rows and go along an
+    edge together; a round hands on the bits that are new.
+    """
+    step = settled(edges.select("src", "dst").distinct())
+    start = settled(start.select("label", "id").distinct(), "starts")
+    at = start.select("label").distinct().orderBy("label").withColumn("place", F.monotonically_increasing_id())
+    bit = settled(at.select("label", F.expr(f"place div {BITS}").alias("block"), F.expr(f"shiftleft(1L, cast(place % {BITS} as int))").alias("bit")), "labels")
+    known = settled(start.join(bit, "label").groupBy("block", "id").agg(F.bit_or("bit").alias("new"), F.lit(0).cast("long").alias("old")), "reached")
     for _ in range(MAX_ROUNDS):
-        found = front.join(step, F.col("id") == F.col("src")).select("label", F.col("dst").alias("id")).distinct()
-        front = rounds.add(found.join(rounds.all(), ["label", "id"], "left_anti"))
-        if front.isEmpty():
-            return rounds.all()
+        front = known.where("new <> 0").select("block", F.col("id").alias("src"), "new")
+        found = front.join(step, "src").select("block", F.col("dst").alias("id"), "new", F.lit(0).cast("long").alias("old"))
+        both = found.unionByName(known.select("block", "id", F.lit(0).cast("long").alias("new"), F.expr("old | new").alias("old")))
+        both = both.groupBy("block", "id").agg(F.bit_or("new").alias("new"), F.bit_or("old").alias("old"))
+        known = settled(both.withColumn("new", F.expr("new & ~old")), "reached")
+        if known.where("new <> 0").isEmpty():
+            # A block's labels stand by its rows only here.
+            of = bit.groupBy("block").agg(F.collect_list(F.struct("label", "bit")).alias("of"))
+            return known.join(of, "block").select("id", "old", F.inline("of")).where("(old & bit) <> 0").select("label", "id")
     raise RuntimeError("the graph is deeper than MAX_ROUNDS")
 
 
