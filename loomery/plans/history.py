@@ -6,31 +6,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomery.operators.mates import twins
 from loomery.plans.registry import query
-from loomery.session import scratch_path, settled
+from loomery.session import scratch_path, settled, tasks
 from loomery.sources.facts import refs
 from loomery.sources.tables import table
 from loomery.streaming.series import Series
 
 
+#: Lines of orders that a task holds, and that give some five pairs of files each.
+LINES = 250_000
+
+
 def touches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """commit, file: distinct."""
+    """commit, file: distinct, dealt by commit over tasks that are counted by the lines."""
     li = table(spark, sf_dir, "lineitem")
-    return li.select(F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("file")).distinct()
+    return li.select(F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("file")).repartition(tasks(li, LINES), "commit").distinct()
 
 
 TOUCH = "touch AS (SELECT DISTINCT l_orderkey AS commit, l_partkey AS file FROM lineitem)"
 
 
-def cochanged(touch: DataFrame, floor: int = 2) -> DataFrame:
-    """a, b, n: files changed in the same commit at least ``floor`` times. A commit's files are few."""
+def cochanged(touch: DataFrame, n: int, floor: int = 2) -> DataFrame:
+    """a, b, n: files changed in the same commit at least ``floor`` times, counted in ``n`` tasks. A commit's files are few."""
     x, y = touch.select("commit", F.col("file").alias("a")), touch.select("commit", F.col("file").alias("b"))
-    return x.join(y, "commit").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= floor)
+    # Most pairs are met once: to count them before they are sent would only hold them twice.
+    return x.join(y.hint("merge"), "commit").where("a < b").select("a", "b").repartition(n, "a", "b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= floor)
 
 
 @query(f"WITH {TOUCH} SELECT x.file AS a, y.file AS b, count(*) AS n FROM touch x JOIN touch y ON x.commit = y.commit AND x.file < y.file GROUP BY ALL HAVING count(*) >= 2")
 def cochange(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cochanged(touches(spark, sf_dir))
+    return cochanged(touches(spark, sf_dir), tasks(table(spark, sf_dir, "lineitem"), LINES))
 
 
 @query("SELECT l_partkey AS file, epoch(max(o_orderdate))::BIGINT AS newest FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
@@ -70,18 +76,16 @@ def survival(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def three_signal_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of files that are alike, linked or changed together, with what each signal says."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    sim = p.withColumnRenamed("p_partkey", "a").join(p.withColumnRenamed("p_partkey", "b"), ["p_name", "p_brand", "p_type"]).where("a < b")
-    sim = sim.select("a", "b", F.lit(True).alias("alike"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_brand", "p_type")
     r = refs(spark, sf_dir).where("src <> dst")
-    linked = r.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct().withColumn("linked", F.lit(True))
-    together = cochanged(touches(spark, sf_dir)).withColumnRenamed("n", "together")
-    out = sim.join(linked, ["a", "b"], "full").join(together, ["a", "b"], "full")
-    has = lambda c: F.coalesce(c, F.lit(False))
-    legs = [has("alike"), has("linked"), F.col("together").isNotNull()]
-    verdict = F.when(legs[0] & legs[2], "merge_candidate")
-    confidence = sum((x.cast("int") for x in legs[1:]), legs[0].cast("int"))
-    return out.select("a", "b", legs[0].alias("alike"), legs[1].alias("linked"), "together", confidence.alias("confidence"), verdict.alias("verdict"))
+    linked = r.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.lit(True).alias("linked"), F.lit(None).cast("long").alias("together"))
+    together = cochange(spark, sf_dir).select("a", "b", F.lit(None).cast("boolean").alias("linked"), F.col("n").alias("together"))
+    said = linked.unionByName(together).repartition(tasks(table(spark, sf_dir, "lineitem"), LINES), "a", "b")
+    said = said.groupBy("a", "b").agg(F.struct(F.max("linked").alias("linked"), F.max("together").alias("together")).alias("said"))
+    out = twins(p, said, ["p_name", "p_brand", "p_type"]).select("a", "b", "alike", F.coalesce("said.linked", F.lit(False)).alias("linked"), "said.together")
+    changed = F.col("together").isNotNull()
+    confidence = F.col("alike").cast("int") + F.col("linked").cast("int") + changed.cast("int")
+    return out.withColumn("confidence", confidence).withColumn("verdict", F.when(F.col("alike") & changed, "merge_candidate"))
 
 
 TREND = """day AS (SELECT o_orderpriority AS axis, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) // 30 AS t, sum(round(o_totalprice))::BIGINT AS y FROM orders GROUP BY ALL)"""
