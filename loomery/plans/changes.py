@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from loomery.functions import fold_key, identifier_words
 from loomery.plans.registry import query
-from loomery.session import settled
+from loomery.session import settled, tasks
 from loomery.sources.tables import table
 
 VERSIONS = r"""line AS (SELECT conv_id, turn, k AS pos, trim(parts[k]) AS body FROM (
@@ -66,24 +66,32 @@ def one_sided_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.agg(F.max("side").alias("side"), F.count("*").alias("n")).where("n = 1").drop("n")
 
 
-def relocated(lines: DataFrame) -> DataFrame:
+def relocated(lines: DataFrame, n: int | None = None) -> DataFrame:
     """file, pair, unit, removed, added: units whose changed lines all went to other units or came from them.
 
     ``lines`` are (file, pair, side, unit, body), the side before or after; a line that a unit repeats
     counts once. A line is changed where its unit has it on one side only, and moved if the pair has a
     changed line of the same body on the other side. A unit must be on both sides and have a change.
+    Lines are dealt over ``n`` tasks, which have to grow with them (as any shuffle has, where not told).
     """
+    n = n or tasks(lines, 0)
     side = lambda name: F.max((F.col("side") == name).cast("int"))
-    each = lines.groupBy("file", "pair", "unit", "body").agg(side("before").alias("b"), side("after").alias("a"))
+    each = lines.repartition(n, "file", "pair", "unit", "body").groupBy("file", "pair", "unit", "body").agg(side("before").alias("b"), side("after").alias("a"))
     gone, come = (F.col("b") > F.col("a")).cast("int"), (F.col("a") > F.col("b")).cast("int")
     each = settled(each.withColumn("gone", gone).withColumn("come", come), "unit-lines")
+    # One sending serves both: what is asked of a body and what it is told.
+    each = each.repartition(n, "file", "pair", "body")
     moved = each.where("gone + come = 1").groupBy("file", "pair", "body").agg(F.min("gone").alias("low"), F.max("gone").alias("high")).where("low < high")
-    told = each.join(moved.select("file", "pair", "body", F.lit(1).alias("moved")), ["file", "pair", "body"], "left")
+    told = each.join(moved.select("file", "pair", "body", F.lit(1).alias("moved")).hint("merge"), ["file", "pair", "body"], "left")
     stayed = F.sum((F.col("gone") + F.col("come")) * (1 - F.coalesce("moved", F.lit(0))))
-    g = told.groupBy("file", "pair", "unit").agg(F.max("b").alias("b"), F.max("a").alias("a"), F.sum("gone").alias("removed"), F.sum("come").alias("added"), stayed.alias("stayed"))
+    g = told.repartition(n, "file", "pair", "unit").groupBy("file", "pair", "unit").agg(F.max("b").alias("b"), F.max("a").alias("a"), F.sum("gone").alias("removed"), F.sum("come").alias("added"), stayed.alias("stayed"))
     return g.where("b = 1 and a = 1 and removed + added > 0 and stayed = 0").select("file", "pair", "unit", "removed", "added")
 
 
+#: Lines of orders that a task holds.
+SOLD = 250_000
+
+
 @query(
     """WITH l AS (SELECT DISTINCT l_suppkey AS file, year(l_shipdate) AS y, round(100 * l_discount)::INTEGER AS unit, p_brand AS body FROM lineitem JOIN part ON p_partkey = l_partkey),
        s AS (SELECT file, y AS pair, 1 AS b, 0 AS a, unit, body FROM l UNION ALL SELECT file, y - 1, 0, 1, unit, body FROM l),
@@ -98,7 +106,9 @@ def relocated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     sold = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
     sold = sold.select(F.col("l_suppkey").alias("file"), F.year("l_shipdate").alias("pair"), unit.alias("unit"), F.col("p_brand").alias("body"))
     sides = F.array(F.struct(F.col("pair").alias("pair"), F.lit("before").alias("side")), F.struct((F.col("pair") - 1).alias("pair"), F.lit("after").alias("side")))
-    found = relocated(sold.distinct().select("file", F.inline(sides), "unit", "body"))
+    n = tasks(table(spark, sf_dir, "lineitem"), SOLD)
+    # In what is dealt by supplier and discount a line is found once, and meets its part before that.
+    found = relocated(sold.repartition(n, "file", "pair", "unit").distinct().select("file", F.inline(sides), "unit", "body"), n)
     return found.select(F.col("file").alias("supplier"), F.col("pair").alias("year"), "unit", "removed", "added")
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+from loomery.plans import changes
 from loomery.plans.changes import relocated
 
 
@@ -32,3 +33,10 @@ def test_relocated_units(spark):
 
 def test_no_lines(spark):
     assert relocated(spark.createDataFrame([], "file long, pair long, side string, unit string, body long")).collect() == []
+
+
+def test_tasks_grow_with_the_lines(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr("loomery.plans.changes.SOLD", 500)
+    plan = changes.relocated_units(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert f", {lines // 500 + 1})" in plan
