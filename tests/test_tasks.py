@@ -3,7 +3,7 @@
 import random
 
 from loomery.operators import graph
-from loomery.plans import history
+from loomery.plans import clones, history
 
 
 def test_tasks_of_pairs_grow_with_the_lines(spark, sf_dir, monkeypatch):
@@ -40,3 +40,19 @@ def test_a_node_has_a_row_for_many_labels(spark, monkeypatch):
     got = graph.labelled_reach(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(start, "label string, id long")).collect()
     assert sorted(map(tuple, got)) == sorted(want)
     assert max(rows) <= 61 * 3 < len(want)
+
+
+def test_tasks_of_clones_grow_with_the_turns(spark, tmp_path, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(9))
+    spark.createDataFrame([(i, 0, text) for i in range(90)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    plans, settle = [], clones.settled
+
+    def noted(df, what="step"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df, what)
+
+    monkeypatch.setattr(clones, "settled", noted)
+    monkeypatch.setattr(clones, "TURNS", 8)
+    assert clones.clone_groups(spark, str(tmp_path)).count() == 90
+    # Texts are dealt by turn, their parts by hash.
+    assert f", {90 // 8 + 1})" in plans[0] and "hashpartitioning(h#" in plans[0]
