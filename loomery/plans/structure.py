@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomery.functions import shape_bits
 from loomery.operators import graph
 from loomery.plans.registry import query
-from loomery.sources.facts import files, in_dir, live_refs, refs
+from loomery.sources.facts import files, in_dir, live_refs, ref_tasks, refs
 from loomery.sources.tables import table
 
 
@@ -65,11 +65,17 @@ def name_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def placed_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst, dir_a, dir_b of every reference row between two files."""
-    d = in_dir(files(spark, sf_dir))
-    r = refs(spark, sf_dir).where("src <> dst")
-    r = r.join(d.select(F.col("id").alias("src"), F.col("dir").alias("dir_a")), "src")
-    return r.join(d.select(F.col("id").alias("dst"), F.col("dir").alias("dir_b")), "dst").select("src", "dst", "dir_a", "dir_b")
+    """src, dst, dir_a, dir_b of every reference row between two files, in tasks that grow with the references."""
+    d, n = in_dir(files(spark, sf_dir)), ref_tasks(spark, sf_dir)
+    r = refs(spark, sf_dir).where("src <> dst").select("src", "dst")
+    for end, dir_ in (("src", "dir_a"), ("dst", "dir_b")):
+        r = r.repartition(n, end).join(d.select(F.col("id").alias(end), F.col("dir").alias(dir_)).repartition(n, end).hint("merge"), end)
+    return r.select("src", "dst", "dir_a", "dir_b")
+
+
+def crossed(placed: DataFrame) -> DataFrame:
+    """dir_a, dir_b, n: references from one directory to another."""
+    return placed.where("dir_a <> dir_b").groupBy("dir_a", "dir_b").agg(F.count("*").alias("n"))
 
 
 PLACED = "placed AS (SELECT src, dst, a.dir AS dir_a, b.dir AS dir_b FROM ref JOIN in_dir a ON a.id = src JOIN in_dir b ON b.id = dst WHERE src <> dst)"
@@ -88,7 +94,7 @@ def ref_participation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PLACED} SELECT dir_a, dir_b, count(*) AS n FROM placed WHERE dir_a <> dir_b GROUP BY ALL", facts=True)
 def dir_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return placed_refs(spark, sf_dir).where("dir_a <> dir_b").groupBy("dir_a", "dir_b").agg(F.count("*").alias("n"))
+    return crossed(placed_refs(spark, sf_dir))
 
 
 @query(
