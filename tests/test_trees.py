@@ -1,6 +1,7 @@
 """Trees, cuts and clusters against plain versions."""
 
 import random
+import time
 from functools import lru_cache
 from itertools import permutations
 
@@ -202,3 +203,75 @@ def test_few_pairs_are_dealt_over_tasks(spark, monkeypatch):
     found = plans.clones(unit)
     assert {(r.a, r.b, r.ted) for r in found.collect()} == {(a, b, 1) for b in range(7) for a in range(b)}
     assert found.rdd.getNumPartitions() > 5
+
+
+def _read(labels, depths):
+    order, first = trees.post_order(depths)
+    return np.array(labels), np.array(labels)[order], first
+
+
+def _edited(rng, labels, depths):
+    """The tree with one node changed, taken out or put in between a node and some of its neighbouring children."""
+    labels, depths = list(labels), list(depths)
+    i = rng.randrange(len(labels))
+    end = next((j for j in range(i + 1, len(depths)) if depths[j] <= depths[i]), len(depths))
+    what = rng.randrange(3)
+    if what == 0:
+        labels[i] = rng.choice("abc")
+    elif what == 1 and i:
+        depths[i:end] = [d - 1 for d in depths[i + 1 : end]]
+        del labels[i]
+    elif what == 2:
+        kids = [j for j in range(i + 1, end) if depths[j] == depths[i] + 1] + [end]
+        x, y = sorted(rng.choice(kids) for _ in range(2))
+        depths[x:y] = [depths[i] + 1, *(d + 1 for d in depths[x:y])]
+        labels.insert(x, rng.choice("abc"))
+    return labels, depths
+
+
+def test_near_distance_of_edited_trees():
+    rng = random.Random(12)
+    seen = set()
+    for _ in range(200):
+        a = b = _random_tree(rng, rng.randint(1, 30), rng.choice(["a", "ab", "abcde"]))
+        edits = rng.randint(0, 8)
+        for _ in range(edits):
+            b = _edited(rng, *b)
+        x, y = _read(*a), _read(*b)
+        true = trees.distance(*x[1:], *y[1:])
+        assert true <= edits
+        for most in (0, 1, 3, 6, 60):
+            assert trees.near_distance(x, y, most) == (true if true <= most else None), (a, b, most)
+        seen.add(true)
+    assert len(seen) > 5
+
+
+def test_near_distance_of_large_pages_is_not_slow():
+    # Links, and paragraphs that a tag without an end takes in: tables of all their subtrees took 19 s.
+    page = [("html", 0), ("ul", 1), *[("li", 2), ("a", 3)] * 60, ("div", 1)]
+    for k in range(60):
+        page += [("p", 2 + k), *[("p", 3 + k), ("i", 4 + k)] * 4, ("b", 2 + k)]
+    labels, depths = map(list, zip(*page))
+    changed = range(10, len(page), 16)
+    other = [labels[i] if i not in changed else "x" for i in range(len(page))]
+    # Besides, a node between the root and all else, and a leaf less.
+    other, below = ["html", "y", *other[1:]], [0, 1, *(d + 1 for d in depths[1:])]
+    del other[4], below[4]
+    began = time.process_time()
+    assert trees.near_distance(_read(labels, depths), _read(other, below), 100) == len(changed) + 2
+    assert time.process_time() - began < 8
+
+
+def test_near_distance_of_trees_deeper_than_the_stack():
+    n = 2000
+    labels, depths = ["ab"[i % 2] for i in range(n)], list(range(n))
+    other = list(labels)
+    other[n // 2] = other[n - 1] = "c"
+    assert trees.near_distance(_read(labels, depths), _read(other, depths), 10) == 2
+    # Each node has a leaf on either side of the next one.
+    zigzag = [(label, d + k) for d in range(n // 2) for label, k in (("s", 0), ("l", 1))] + [("r", d) for d in range(n // 2, 0, -1)]
+    labels, depths = map(list, zip(*zigzag))
+    other = list(labels)
+    for i in (4, 501, n // 2 - 1, len(other) - 9):
+        other[i] = "c"
+    assert trees.near_distance(_read(labels, depths), _read(other, depths), 10) == 4
